@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe_codec, decontaminate, lang_id, neardup, sharding, substrings, token_counts, warc
+from skein.llm import bpe_codec, decontaminate, lang_id, licenses, neardup, quality, sharding, substrings, token_counts, warc
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op2_quality_rules": quality.op2_quality_rules,
     "op3_bpe_codec": bpe_codec.op3_bpe_codec,
     "op4_language_id": lang_id.op4_language_id,
     "op5_token_counts": token_counts.op5_token_counts,
