@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from skein.llm.common import reach_workers, read
 
@@ -150,16 +151,17 @@ def fit(df: DataFrame, n_sample: int = 6000, id_col: str = "doc_id", text_col: s
     return train([r["w"].encode() for r in got], [r["lang"] for r in got])
 
 
-def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lang_pred and score (mean probability of lang_pred over the whole text), with no shuffle.
+def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang_pred and score (mean probability of lang_pred over the whole text), with no shuffle; then df's
+    columns named in keep, under their own names, whatever they hold.
 
     und and 0.0 where the text is null or has no letter, or where there is no model (no labelled rows). Ids may be
     null or repeat; each row gives one row. Further columns are ignored; an empty table gives an empty result.
     """
     reach_workers(df.sparkSession)
     letter = F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False))
-    docs = df.select(F.col(id_col).alias("doc_id"), F.when(letter, F.col(text_col).cast("binary")).alias("raw"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    docs = df.select(F.col(id_col).alias("doc_id"), F.when(letter, F.col(text_col).cast("binary")).alias("raw"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    schema = StructType([docs.schema["doc_id"], StructField("lang_pred", StringType()), StructField("score", DoubleType()), *docs.schema[2:]])
 
     def run(batches):
         ask = Predictor(model) if model else None
@@ -176,9 +178,9 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     for (k, _), best, row in zip(todo, p.argmax(axis=1), p):
                         lang[k], score[k] = ask.m.labels[best], min(1.0, row[best])
                     todo, size = [], 0
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64())], ["doc_id", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], schema.names)
 
-    return docs.mapInArrow(run, f"doc_id {kind}, lang_pred string, score double")
+    return docs.mapInArrow(run, schema).toDF("doc_id", "lang_pred", "score", *keep)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,7 +155,8 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
     (doc_id = component_id) of every row.
 
     Texts that are null or without words have no shingles, no links and are kept. Equal sets are linked. Rows that
-    repeat a doc_id are one node of the graph and give a row each; a null doc_id links to nothing but gives a row.
+    repeat a doc_id are one node of the graph and give a row each; a null doc_id links to nothing, has no component_id
+    and is kept.
     Further columns are ignored; an empty table gives an empty result.
     """
     sigs = table(signatures(df, k, rows, band_count(percent / 100, rows), id_col, text_col), "signatures")
@@ -168,6 +169,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
         own = own.withColumn("component_id", F.coalesce("component", "rep"))
     else:
         own = own.withColumn("component_id", F.col("rep"))
+    own = own.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
     return own.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 

@@ -219,9 +219,10 @@ def spans(data: bytes, sure: np.ndarray, part: dict[int, np.ndarray]) -> list[tu
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False) -> DataFrame:
+def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row, and with keep_text also kept (the remaining
-    bytes as text; characters that a cut went through are dropped) and spans (array of (start, end)).
+    bytes as text; characters that a cut went through are dropped) and spans (array of (start, end)); then df's columns
+    named in keep, under their own names.
 
     A byte goes if a string of LENGTH bytes that covers it also starts in a row with a smaller doc_id. Null text is
     empty. Rows with a null doc_id are left as they are and remove nothing; rows that share a doc_id do not remove
@@ -230,7 +231,8 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
     spark = df.sparkSession
     reach_workers(spark)
     raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
-    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw")).withColumn("key", F.xxhash64("raw"))
+    docs = df.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw"), F.xxhash64(raw).alias("key"), *(F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)))
+    more = [f"keep_{i}" for i in range(len(keep))]
     rows = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("raw") >= LENGTH)).select("doc_id", "key", "raw")
     total = docs.agg(F.sum(F.octet_length("raw").cast("long"))).collect()[0][0] or 0
     known = table(meet(scan(rows, max(4, -(-total // MEET)))), "met")
@@ -238,7 +240,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
     ids = known.select("doc_id", "key")
     few = ids.count() <= FEW_IDS
     side = F.broadcast(ids) if few else ids
-    mine = table(rows.join(side, ["doc_id", "key"], "left_semi").join(known, ["doc_id", "key"]), "mine")
+    mine = table(docs.join(side, ["doc_id", "key"], "left_semi").join(known, ["doc_id", "key"]), "mine")
 
     def close(batches):
         for b in batches:
@@ -262,13 +264,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
     strings = order(near.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))))
     strings = strings.groupBy("doc_id", "key").agg(F.collect_list("run").alias("run"), F.collect_list("gone").alias("gone"))
     rest = docs.join(side, ["doc_id", "key"], "left_anti") if few else docs.join(ids, ["doc_id", "key"], "left_anti")
-    rest = rest.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *([F.col("raw").cast("string").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans")] if keep_text else []))
+    rest = rest.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *([F.col("raw").cast("string").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans")] if keep_text else []), *more)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def apply(batches):
         for b in batches:
             out = []
-            for d, raw, sure, run, gone in zip(*(c.to_pylist() for c in b.columns)):
+            for d, raw, sure, run, gone in zip(*(c.to_pylist() for c in b.columns[:5])):
                 part: dict[int, np.ndarray] = {h & 0xFFFFFFFFFFFFFFFF: np.frombuffer(g, np.int16) for h, g in zip(run or [], gone or [])}
                 cut = spans(raw, np.frombuffer(b"".join(sure), _U), part)
                 edge = [0, *(x for s in cut for x in s), len(raw)]
@@ -276,11 +278,12 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
                 out.append((d, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in cut]))
             cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span))]
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-            yield pa.RecordBatch.from_arrays(cols if keep_text else cols[:5], names if keep_text else names[:5])
+            n = 7 if keep_text else 5
+            yield pa.RecordBatch.from_arrays([*cols[:n], *b.columns[5:]], [*names[:n], *more])
 
-    cuts = mine.select("doc_id", "key", "raw", "sure").join(strings, ["doc_id", "key"], "left").select("doc_id", "raw", "sure", "run", "gone")
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept string, spans array<struct<start:long,end:long>>" * keep_text
-    return rest.unionByName(cuts.mapInArrow(apply, schema))
+    cuts = mine.select("doc_id", "key", "raw", "sure", *more).join(strings, ["doc_id", "key"], "left").select("doc_id", "raw", "sure", "run", "gone", *more)
+    out = rest.unionByName(cuts.mapInArrow(apply, rest.schema))
+    return out.toDF(*out.columns[: len(out.columns) - len(keep)], *keep)
 
 
 def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
