@@ -5,9 +5,12 @@ round t on, round i fills bin i - t, so all are filled after 2t rounds), and a b
 Two sets agree in a bin with a probability that is their similarity, and as each bin is a draw without replacement
 the share of equal bins is concentrated around it. Bands of ``rows`` bins make candidates.
 
-Texts with equal sets are one class from the start. Within a bucket classes are never paired off: its best linked
-class is compared with the rest, then leaves, and a bucket goes on only while its classes are in different
-components. So each pair of classes in a bucket is compared unless both are already known to be connected.
+Texts with equal sets are one class from the start. Buckets that share classes are clusters, and each class goes to
+one task with its cluster, where classes that share a band are compared on their full sets unless they are already
+known to be connected. A cluster whose sets are larger than a block is cut into blocks: first each block is worked on
+with some members that stand in all of them, then what is outside the cluster's largest component is compared with
+each of its blocks. So each pair of classes in a bucket is compared unless both are already connected, no pairs are
+ever listed, and no task holds more than a few blocks.
 """
 
 from __future__ import annotations
@@ -18,15 +21,20 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from skein.llm.common import reach_workers, read, table
 from skein.llm.components import components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
-#: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
-FEW_IDS = 2_000_000
+#: Classes up to this number are broadcast (about 400 bytes each), more are joined by a shuffle.
+FEW_NODES = 100_000
+#: Bytes of shingle sets that meet at once, and those that a task is given.
+BLOCK, TASK = 8 << 20, 16 << 20
+#: Members of a cluster that stand in all its blocks.
+LEADS = 8
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -69,6 +77,11 @@ class Sketcher:
         return out
 
 
+def signature(s: np.ndarray) -> bytes:
+    """What stands for a set of shingles."""
+    return hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def band_count(threshold: float, rows: int, miss: float = 1e-6) -> int:
     """Bands so that a pair at the threshold shares none with a probability of at most miss."""
     return math.ceil(math.log(miss) / math.log(1 - threshold**rows))
@@ -92,7 +105,7 @@ def signatures(df: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
                     sig.append(None)
                     out.append(None)
                     continue
-                sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sig.append(signature(s))
                 key, parts = seeds, sketch(s).reshape(bands, rows)
                 for j in range(rows):
                     key = mix(key ^ parts[:, j]) + parts[:, j]
@@ -102,55 +115,121 @@ def signatures(df: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig binary, bands array<long>")
 
 
-def full_sets(df: DataFrame, ids: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
-    """rep and its shingle set for each id in ids (column rep), from the texts themselves."""
+def connect(rep: np.ndarray, label: np.ndarray, size: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect just what all links among these sets connect, beyond what label connects already.
+
+    Rows that share a band and are not connected yet are compared exactly: shingles that only one row has are left out,
+    the others get small numbers, and one row is held against all its candidates at once. Without probe all pairs
+    count, with it those of a row that it marks and any other row.
+    """
+    m, out = len(rep), []
+    flat, number, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[number] > 1
+    owner = np.repeat(np.arange(m), [len(s) for s in sets])[shared]
+    number = number[shared]
+    bound = np.searchsorted(owner, np.arange(m + 1))
+    flag = np.zeros(len(flat), bool)
+    for x in range(m) if probe is None else np.flatnonzero(probe):
+        low = x + 1 if probe is None else 0
+        near = np.flatnonzero(label[low:] != label[x]) + low
+        if len(near):
+            least = np.minimum(size[near], size[x])
+            near = near[100 * least >= percent * (size[near] + size[x] - least)]
+            near = near[(bands[near] == bands[x]).any(axis=1)]
+        if not len(near):
+            continue
+        flag[number[bound[x] : bound[x + 1]]] = True
+        n = bound[near + 1] - bound[near]
+        at = np.repeat(bound[near] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        both = np.bincount(np.repeat(np.arange(len(near)), n), flag[number[at]], len(near)).astype(np.int64)
+        flag[number[bound[x] : bound[x + 1]]] = False
+        good = near[100 * both >= percent * (size[near] + size[x] - both)]
+        joined, first = np.unique(label[good], return_index=True)
+        out += [(int(rep[x]), int(rep[y])) for y in good[first]]
+        label[np.isin(label, joined)] = label[x]
+    return out
+
+
+def with_sets(df: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: str) -> DataFrame:
+    """nodes (rep, sig and others) with the shingle set that sig stands for, from the texts themselves."""
     docs = df.select(F.col(id_col).alias("rep"), F.col(text_col).alias("text"))
-    docs = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, "rep", "left_semi")
-    kind = docs.schema["rep"].dataType.simpleString()
+    joined = docs.join(F.broadcast(nodes) if nodes.count() <= FEW_NODES else nodes, "rep").select("text", *nodes.columns)
+    schema = StructType([StructField("shingles", ArrayType(LongType())), *nodes.schema])
+    sig_at = 1 + nodes.columns.index("sig")
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t.as_py(), k).view(np.int64) for t in b.column(1)], pa.list_(pa.int64()))], ["rep", "shingles"])
+            sets = [shingles(t.as_py(), k) for t in b.column(0)]
+            out = pa.RecordBatch.from_arrays([pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *b.columns[1:]], schema.names)
+            yield out.filter(pa.array([signature(s) == g for s, g in zip(sets, b.column(sig_at).to_pylist())], pa.bool_()))
 
-    return docs.mapInArrow(run, f"rep {kind}, shingles array<long>")
+    return joined.mapInArrow(run, schema)
 
 
-def links(reps: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
-    """Verified links (u, v) that connect just what all links connect. reps: rep, n_shingles, bands."""
-    entries = reps.select("rep", "n_shingles", F.posexplode("bands").alias("band", "value")).select("rep", "n_shingles", F.xxhash64("band", "value").alias("bucket"))
-    shared = entries.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1")
-    live = table(entries.join(shared, "bucket"), "live")
-    weight = live.groupBy("rep").agg(F.sum("members").alias("weight"))
-    live = table(live.join(weight, "rep").select("bucket", "rep", "n_shingles", "weight"), "live")
-    if not live.take(1):
+def compare(rows: DataFrame, parts: int, percent: int) -> DataFrame:
+    """Links (u, v) found within each task. rows: task, rep, label, n_shingles, probe, bands, shingles."""
+
+    def run(t: pa.Table) -> pa.Table:
+        task = t.column("task").to_numpy()
+        col = {c: t.column(c).to_numpy() for c in ("rep", "label", "n_shingles", "probe")}
+        bands, sets = t.column("bands").to_pylist(), t.column("shingles").combine_chunks()
+        order = np.lexsort((col["rep"], task))
+        found = []
+        for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
+            probe = col["probe"][at]
+            found += connect(col["rep"][at], col["label"][at].copy(), col["n_shingles"][at], np.array([bands[i] for i in at]), [sets[int(i)].values.to_numpy() for i in at], percent, None if not probe.any() else probe)
+        u, v = np.array(found, np.int64).reshape(-1, 2).T
+        return pa.table([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
+
+    spread = rows.select(F.pmod(F.xxhash64("task"), F.lit(parts)).alias("part"), "task", "rep", "label", "n_shingles", "probe", "bands", "shingles")
+    return spread.groupBy("part").applyInArrow(run, "u long, v long")
+
+
+def links(reps: DataFrame, df: DataFrame, k: int, percent: int, id_col: str, text_col: str, block: int = BLOCK) -> DataFrame | None:
+    """Verified links (u, v) that connect just what all links connect. reps: rep, sig, n_shingles, bands."""
+    entries = reps.select("rep", F.posexplode("bands").alias("band", "value")).select("rep", F.xxhash64("band", "value").alias("bucket"))
+    shared = entries.groupBy("bucket").agg(F.min("rep").alias("first"), F.max("rep").alias("last")).filter("first < last").select("bucket", "first")
+    clusters = components(entries.join(shared, "bucket").select(F.col("rep").alias("u"), F.col("first").alias("v")))
+    nodes = table(reps.join(clusters.select(F.col("node").alias("rep"), F.col("component").alias("cluster")), "rep"), "nodes")
+    sizes = nodes.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") * 8 / block).cast("int").alias("blocks"))
+    large = table(sizes.filter("blocks > 1"), "large")
+    total = nodes.agg(F.sum("n_shingles")).collect()[0][0]
+    if not total:
         return None
-    sets = table(full_sets(df, live.select("rep").distinct(), k, id_col, text_col), "sets")
-    found = None
-    tested = None
-    while True:
-        best = live.groupBy("bucket").agg(F.max(F.struct("weight", F.negative("rep").alias("least"), F.col("n_shingles").alias("size"))).alias("b")).select("bucket", (-F.col("b.least")).alias("pivot"), F.col("b.size").alias("size"))
-        met = table(live.join(best, "bucket"), "met")
-        pairs = met.filter(F.col("rep") != F.col("pivot")).filter(100 * F.least("n_shingles", "size") >= percent * F.greatest("n_shingles", "size")).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v"), "pivot").groupBy("u", "v").agg(F.min("pivot").alias("pivot"))
-        if tested is not None:
-            pairs = pairs.join(tested, ["u", "v"], "left_anti")
-        pairs = table(pairs, "pairs")
-        tested = pairs.select("u", "v") if tested is None else tested.unionByName(pairs.select("u", "v"))
-        other = F.when(F.col("u") == F.col("pivot"), F.col("v")).otherwise(F.col("u"))
-        one = pairs.select("pivot", other.alias("rep")).join(sets, "rep").select("pivot", "rep", F.col("shingles").alias("a"))
-        two = one.join(sets.select(F.col("rep").alias("pivot"), F.col("shingles").alias("b")), "pivot")
-        both = F.size(F.array_intersect("a", "b"))
-        good = table(two.filter(100 * both >= percent * (F.size("a") + F.size("b") - both)).select(F.greatest("rep", "pivot").alias("u"), F.least("rep", "pivot").alias("v")).distinct(), "links")
-        found = good if found is None else table(found.unionByName(good), "found")
-        rest = met.filter(F.col("rep") != F.col("pivot")).select("bucket", "rep", "n_shingles", "weight")
-        joined = components(found)
-        named = rest.join(joined, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "n_shingles", "weight", F.coalesce("component", "rep").alias("component"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y").select("bucket")
-        live = table(named.join(split, "bucket", "left_semi").select("bucket", "rep", "n_shingles", "weight"), "live")
-        if not live.take(1):
-            return found
-
-
-def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    parts = max(8, -(-8 * total // TASK))
+    n_large = large.count()
+    some = nodes.withColumn("task", F.xxhash64("cluster"))
+    if n_large:
+        dealt = nodes.join(large, "cluster").withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
+        # a few members of each large cluster stand in all its blocks, so that what is like them is connected at once
+        lead = F.row_number().over(Window.partitionBy("cluster", "i").orderBy("rep"))
+        lead = dealt.withColumn("r", lead).filter("r = 1").withColumn("r", F.row_number().over(Window.partitionBy("cluster").orderBy("i"))).filter(F.col("r") <= LEADS)
+        everywhere = lead.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.unionByName(everywhere.select(*dealt.columns)).dropDuplicates(["cluster", "i", "rep", "sig"])
+        some = some.join(large.select("cluster"), "cluster", "left_anti").unionByName(dealt.withColumn("task", F.xxhash64("cluster", "i")).select(*some.columns))
+    sets = with_sets(df, some.select("task", "rep", "sig", "n_shingles", "bands"), k, id_col, text_col)
+    found = table(compare(sets.withColumn("label", F.col("rep")).withColumn("probe", F.lit(False)), parts, percent), "links")
+    if not n_large:
+        return found
+    # what is not in a large cluster's largest component is held against all its blocks
+    label = components(found).withColumnRenamed("node", "rep").withColumnRenamed("component", "label")
+    held = table(nodes.join(large, "cluster").join(label, "rep", "left").withColumn("label", F.coalesce("label", "rep")), "held")
+    weight = held.groupBy("cluster", "label").agg(F.sum("n_shingles").alias("w"))
+    top = weight.groupBy("cluster").agg(F.max(F.struct("w", "label")).alias("t")).select("cluster", F.col("t.label").alias("main"))
+    held = held.join(top, "cluster").withColumn("i", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")))
+    apart = held.filter("label <> main")
+    n_apart = apart.groupBy("cluster").agg(F.ceil(F.sum("n_shingles") * 8 / block).cast("int").alias("others"))
+    held = held.join(n_apart, "cluster")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    probes = held.filter("label <> main").withColumn("j", F.pmod(F.xxhash64("rep", F.lit("other")), F.col("others"))).withColumn("i", each("blocks")).withColumn("probe", F.lit(True))
+    against = held.withColumn("j", each("others")).withColumn("probe", F.lit(False))
+    tasks = probes.unionByName(against.select(*probes.columns)).withColumn("task", F.xxhash64("cluster", "i", "j"))
+    sets = with_sets(df, tasks.select("task", "rep", "sig", "label", "n_shingles", "probe", "bands"), k, id_col, text_col)
+    more = compare(sets, parts, percent)
+    return table(found.unionByName(more), "links")
+
+
+def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links of at least percent per cent) and kept
     (doc_id = component_id) of every row.
 
@@ -161,7 +240,7 @@ def near_duplicates(df: DataFrame, k: int = 5, percent: int = 80, rows: int = 4,
     """
     sigs = table(signatures(df, k, rows, band_count(percent / 100, rows), id_col, text_col), "signatures")
     reps = table(sigs.filter("sig IS NOT NULL AND doc_id IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("bands").alias("bands"), F.count("*").alias("copies")), "classes")
-    found = links(reps.select("rep", "n_shingles", "bands"), df, k, percent, id_col, text_col)
+    found = links(reps.select("rep", "sig", "n_shingles", "bands"), df, k, percent, id_col, text_col, block)
     # only classes of several texts, and of them only their other members, need to look up their first text
     own = sigs.select("doc_id", "n_shingles", "sig").join(reps.filter("copies > 1").select("sig", "rep"), "sig", "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep"))
     if found is not None:

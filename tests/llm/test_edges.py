@@ -128,8 +128,8 @@ def test_neardup_random(spark):
         for _ in range(rng.randint(1, 9)):
             rows.append((len(rows), " ".join(w if rng.random() > 0.02 else "new" + str(rng.randint(0, 99)) for w in base)))
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for k, percent in ((3, 85), (5, 80)):
-        got = neardup.near_duplicates(df, k=k, percent=percent).collect()
+    for k, percent, block in ((3, 85, 1 << 20), (5, 80, 1 << 20), (3, 85, 1000), (2, 60, 2000)):
+        got = neardup.near_duplicates(df, k=k, percent=percent, block=block).collect()
         assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute.near_duplicates(rows, k, percent)
 
 
