@@ -1 +1 @@
-"""skein: a Spark-first engine for crawled-web search, ranking and corpus preparation."""
+"""A web-search analytics engine on Spark: extraction, indexing, retrieval, ranking, crawl planning."""
