@@ -9,8 +9,8 @@ runs with equal anchors need to meet. Steps:
    share reaches the next step once a batch.
 2. meet: by anchor hash. Runs equal to one of a smaller document are removed whole. Where an anchor has several
    different runs, the smallest document of each run must look closer; that happens where shared passages end.
-3. order: the texts of those runs are joined and put in suffix order (linear grouping); neighbours that agree in
-   LENGTH bytes form a class, whose smallest document keeps the string.
+3. order: what those runs may share (by hashes of all their strings) is joined and put in suffix order (linear
+   grouping); neighbours that agree in LENGTH bytes form a class, whose smallest document keeps the string.
 4. apply: spans are joined to the documents that have any. All others keep their text without meeting anything.
 """
 
@@ -156,16 +156,55 @@ def meet(scanned: DataFrame) -> DataFrame:
     return scanned.groupBy("bucket").applyInArrow(run, "doc_id long, key long, sure binary, look binary")
 
 
+def string_hashes(joined: bytes) -> np.ndarray:
+    """A hash of the LENGTH bytes from each place on."""
+    x = np.ndarray((len(joined) - 7,), "<u8", joined, strides=(1,))
+    n = len(joined) - LENGTH + 1
+    h = x[:n] * _C
+    for k in (*range(8, LENGTH - 8, 8), LENGTH - 8):
+        h = mix(h ^ x[k : k + n])
+    return h
+
+
+def shared_pieces(texts: list[bytes], docs: np.ndarray) -> list[tuple[int, int, int]]:
+    """(text, first, end) of each piece of a text whose strings all have the hash of a string of another document."""
+    joined = b"".join(texts)
+    bound = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    size = np.diff(bound) - LENGTH + 1
+    owner = np.repeat(np.arange(len(texts)), size)
+    at = np.arange(len(owner)) + np.repeat(bound[:-1] - np.cumsum(size) + size, size)
+    h, doc = string_hashes(joined)[at], docs[owner]
+    o = np.argsort(h)
+    first = np.flatnonzero(np.append(True, h[o][1:] != h[o][:-1]))
+    low, high = np.minimum.reduceat(doc[o], first), np.maximum.reduceat(doc[o], first)
+    hit = np.zeros(len(h), bool)
+    hit[o] = np.repeat(low < high, np.diff(np.append(first, len(h))))
+    start = np.flatnonzero(hit & ~(np.append(False, hit[:-1]) & np.append(False, owner[1:] == owner[:-1])))
+    stop = np.flatnonzero(hit & ~(np.append(hit[1:], False) & np.append(owner[1:] == owner[:-1], False)))
+    return list(zip(owner[start].tolist(), (at[start] - bound[owner[start]]).tolist(), (at[stop] - bound[owner[stop]] + LENGTH).tolist()))
+
+
 def order(near: DataFrame) -> DataFrame:
     """From rows (part, anchor, doc_id, key, run, text) to rows (doc_id, key, run, gone): the strings of each run, by
-    their place in it, that a smaller document has too."""
+    their place in it, that a smaller document has too. Strings whose hash only one document has are left out first;
+    of what is left, equal pieces are put in suffix order once."""
 
     def one(texts: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
-        joined = b"\0".join(texts) + b"\0"
-        bound = np.concatenate([[0], np.cumsum([len(x) + 1 for x in texts])])
-        owner = np.repeat(np.arange(len(texts)), np.diff(bound))
+        pieces = shared_pieces(texts, docs)
+        least_doc: dict[bytes, int] = {}
+        for i, x, y in pieces:
+            p, d = texts[i][x:y], int(docs[i])
+            if d < least_doc.get(p, d + 1):
+                least_doc[p] = d
+        out: list[list] = [[] for _ in texts]
+        if not pieces:
+            return [np.zeros(0, np.int64) for _ in out]
+        own, least = list(least_doc), np.fromiter(least_doc.values(), np.int64, len(least_doc))
+        joined = b"\0".join(own) + b"\0"
+        bound = np.concatenate([[0], np.cumsum([len(x) + 1 for x in own])])
+        owner = np.repeat(np.arange(len(own)), np.diff(bound))
         sa = np.array(suffix_array(joined), np.int64)
-        sa = sa[bound[owner[sa] + 1] - 1 - sa >= LENGTH]  # strings that lie within one run
+        sa = sa[bound[owner[sa] + 1] - 1 - sa >= LENGTH]  # strings that lie within one piece
         data = np.frombuffer(joined, np.uint8)
         same = np.zeros(len(sa), bool)
         for k in range(1, len(sa), 1 << 16):
@@ -175,12 +214,13 @@ def order(near: DataFrame) -> DataFrame:
                 equal &= data[a + j] == data[b + j]
             same[k : k + len(b)] = equal
         first = np.flatnonzero(~same)
-        gone = np.zeros(len(sa), bool)
-        if len(sa):
-            least = np.repeat(np.minimum.reduceat(docs[owner[sa]], first), np.diff(np.append(first, len(sa))))
-            gone = docs[owner[sa]] > least
-        hit = np.sort(sa[gone])
-        return [p - bound[i] for i, p in enumerate(np.split(hit, np.searchsorted(hit, bound[1:-1])))]
+        lowest = np.zeros(len(joined), np.int64)
+        lowest[sa] = np.repeat(np.minimum.reduceat(least[owner[sa]], first), np.diff(np.append(first, len(sa))))
+        number = {p: int(x) for p, x in zip(own, bound)}
+        for i, x, y in pieces:
+            k = number[texts[i][x:y]]
+            out[i].append(np.flatnonzero(lowest[k : k + y - x - LENGTH + 1] < docs[i]) + x)
+        return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
     def run(t: pa.Table) -> pa.Table:
         anchor, docs = t.column("anchor").to_numpy(), t.column("doc_id").to_numpy()
@@ -275,11 +315,11 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
                 cut = spans(raw, np.frombuffer(b"".join(sure), _U), part)
                 edge = [0, *(x for s in cut for x in s), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(edge[::2], edge[1::2]))
-                out.append((d, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in cut]))
-            cols = [pa.array([r[k] for r in out], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span))]
-            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"]
-            n = 7 if keep_text else 5
-            yield pa.RecordBatch.from_arrays([*cols[:n], *b.columns[5:]], [*names[:n], *more])
+                more_of = (kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in cut]) if keep_text else ()
+                out.append((d, len(raw), len(raw) - len(kept), len(cut), hashlib.sha256(kept).hexdigest(), *more_of))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), span)[: 7 if keep_text else 5]
+            names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), *b.columns[5:]], [*names, *more])
 
     cuts = mine.select("doc_id", "key", "raw", "sure", *more).join(strings, ["doc_id", "key"], "left").select("doc_id", "raw", "sure", "run", "gone", *more)
     out = rest.unionByName(cuts.mapInArrow(apply, rest.schema))
