@@ -4,11 +4,12 @@ Every string of LENGTH bytes contains LENGTH - GRAM + 1 grams; the one with the
 its anchor. Neighbouring strings with the same anchor form a run, and equal strings have equal anchors, so that only
 runs with equal anchors need to meet. Steps:
 
-1. scan: each document's runs, as (hash of the anchor, hash of the whole run). Within a batch only the smallest
-   document of equal runs goes on; the others' bytes are known to be removed. So a passage that very many documents
-   share reaches the next step once a batch.
-2. meet: by anchor hash. Runs equal to one of a smaller document are removed whole. Where an anchor has several
-   different runs, the smallest document of each run must look closer; that happens where shared passages end.
+1. scan: each document's runs, as hashes of the whole run and of the anchor with the bytes on either side. Within a
+   batch only the smallest document of equal runs goes on; the others' bytes are known to be removed. So a passage
+   that very many documents share reaches the next step once a batch.
+2. meet: by anchor hash. Runs equal to one of a smaller document are removed whole. Of different runs with an equal
+   anchor, two can share a string only if they agree on one whole side of the anchor; the smallest document of such a
+   run must look closer. That happens where shared passages end.
 3. order: what those runs may share (by hashes of all their strings) is joined and put in suffix order (linear
    grouping); neighbours that agree in LENGTH bytes form a class, whose smallest document keeps the string.
 4. apply: spans are joined to the documents that have any. All others keep their text without meeting anything.
@@ -28,6 +29,8 @@ from skein.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 50, 16
 SPAN = LENGTH - GRAM + 1  # grams of a string
+#: Each string has so many bytes before its anchor, or so many after it.
+SIDE = (LENGTH - GRAM + 1) // 2
 #: Bytes scanned together; a longer text is scanned in pieces.
 CHUNK = 1 << 22
 #: Text bytes for each group of anchors that meet, and bytes of runs that are put in order together.
@@ -44,8 +47,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of a text of LENGTH bytes or more: each run's first string, number of strings, anchor hash and run hash."""
+def runs(data: bytes) -> tuple[np.ndarray, ...]:
+    """Of a text of LENGTH bytes or more: each run's first string, number of strings, anchor hash, run hash, and hashes
+    of the anchor with SIDE bytes before and after it (of its own place where a text has no such bytes)."""
     out = []
     for at in range(0, len(data) - LENGTH + 1, CHUNK):
         part = data[at : at + CHUNK + LENGTH - 1]
@@ -64,17 +68,31 @@ def runs(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         h = count.astype(_U)
         for k in range(0, SPAN + LENGTH - GRAM, GRAM):
             h = mix(h ^ g[np.minimum(first + k, end)])
-        out.append((first + at, count, g[low[first].astype(np.int64)], mix(h ^ g[end])))
-    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, _U), np.zeros(0, _U))
+        place = low[first].astype(np.int64)
+        anchor = g[place]
+        before, after = np.maximum(place - SIDE, 0), np.minimum(place + SIDE, len(g) - 1)
+        odd = mix(h ^ place.astype(_U))
+        left = np.where(place >= SIDE, mix(anchor * _C ^ g[before]) ^ part_byte(part, before + GRAM), odd)
+        right = np.where(place + SIDE < len(g), mix(anchor ^ g[after] * _C) ^ part_byte(part, after - 1), odd)
+        out.append((first + at, count, anchor, mix(h ^ g[end]), left, right))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), *[np.zeros(0, _U)] * 4)
 
 
-def _blobs(keys: list, lists: list[np.ndarray]) -> pa.Array:
+def part_byte(part: bytes, at: np.ndarray) -> np.ndarray:
+    return np.frombuffer(part, np.uint8)[at].astype(_U) * _M1
+
+
+def _blobs(lists: list[np.ndarray]) -> pa.Array:
     return pa.array([x.tobytes() for x in lists], pa.binary())
 
 
+NAMES = ["bucket", "doc_id", "key", "runs", "lefts", "rights", "docs", "keys", "sure"]
+
+
 def scan(rows: DataFrame, buckets: int) -> DataFrame:
-    """Rows (bucket, doc_id, key, anchors, runs, docs, keys, sure). Rows for step 2 have parallel arrays of anchor and
-    run hashes, documents and their keys; rows with sure have run hashes of one document that are removed anyway."""
+    """Rows (bucket, doc_id, key, runs, lefts, rights, docs, keys, sure). Rows for step 2 have parallel arrays of run
+    and side hashes, documents and their keys, in order of documents; rows with sure have run hashes of one document
+    that are removed anyway. Side hashes only say where to look, so half their bits will do."""
 
     def run(batches):
         for b in batches:
@@ -82,67 +100,66 @@ def scan(rows: DataFrame, buckets: int) -> DataFrame:
             held, size = [], 0
 
             def flush():
-                who = np.repeat([i for i, _, _ in held], [len(a) for _, a, _ in held])
-                anchor, whole = np.concatenate([a for _, a, _ in held]), np.concatenate([h for *_, h in held])
+                who = np.repeat([i for i, *_ in held], [len(x[1]) for x in held])
+                anchor, whole, left, right = (np.concatenate([x[k] for x in held]) for k in range(1, 5))
                 doc = ids[who]
-                o = np.lexsort((keys[who], doc, whole, anchor))
-                anchor, whole, who, doc = anchor[o], whole[o], who[o], doc[o]
+                o = np.lexsort((keys[who], doc, whole))
+                whole, who, doc = whole[o], who[o], doc[o]
                 new = np.ones(len(o), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (whole[1:] != whole[:-1])
+                new[1:] = whole[1:] != whole[:-1]
                 least = doc[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
                 sure = doc > least
                 # a document's repeats of a run go on once, and so do other rows of the same id
                 send = new | (~sure & np.append(False, who[1:] != who[:-1]))
-                to = (anchor >> _U(20)) % _U(buckets)
+                to = (anchor[o] >> _U(20)) % _U(buckets)
                 pick = np.flatnonzero(send)
-                pick = pick[np.argsort(to[pick], kind="stable")]
+                pick = pick[np.lexsort((keys[who[pick]], doc[pick], to[pick]))]
                 cut = np.searchsorted(to[pick], np.arange(buckets + 1, dtype=_U))
                 parts = [(k, pick[a:z]) for k, (a, z) in enumerate(zip(cut, cut[1:])) if z > a]
                 n = len(parts)
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(_blobs(None, [c[p] for _, p in parts]) for c in (anchor, whole, doc, keys[who])), pa.nulls(n, pa.binary())], NAMES)
+                half = lambda c: (c[o] >> _U(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), *(_blobs([c[p] for _, p in parts]) for c in (whole, half(left), half(right), doc, keys[who])), pa.nulls(n, pa.binary())], NAMES)
                 gone = np.flatnonzero(sure)
                 gone = gone[np.argsort(who[gone], kind="stable")]
                 docs, first = np.unique(who[gone], return_index=True)
                 lists = [np.unique(x) for x in np.split(whole[gone], first[1:])] if len(docs) else []
                 n = len(docs)
-                empty = pa.nulls(n, pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array((docs + int(ids[0])) % buckets, pa.int32()), pa.array(ids[docs], pa.int64()), pa.array(keys[docs], pa.int64()), empty, empty, empty, empty, _blobs(None, lists)], NAMES)
+                yield pa.RecordBatch.from_arrays([pa.array((docs + int(ids[0])) % buckets, pa.int32()), pa.array(ids[docs], pa.int64()), pa.array(keys[docs], pa.int64()), *[pa.nulls(n, pa.binary())] * 5, _blobs(lists)], NAMES)
 
             for i, t in enumerate(b.column(2)):
-                _, _, anchor, whole = runs(t.as_py())
-                held.append((i, anchor, whole))
-                size += len(anchor)
+                held.append((i, *runs(t.as_py())[2:]))
+                size += len(held[-1][1])
                 if size > 4_000_000:
                     yield from flush()
                     held, size = [], 0
             if size:
                 yield from flush()
 
-    return rows.mapInArrow(run, "bucket int, doc_id long, key long, anchors binary, runs binary, docs binary, keys binary, sure binary")
-
-
-NAMES = ["bucket", "doc_id", "key", "anchors", "runs", "docs", "keys", "sure"]
+    return rows.mapInArrow(run, "bucket int, doc_id long, key long, runs binary, lefts binary, rights binary, docs binary, keys binary, sure binary")
 
 
 def meet(scanned: DataFrame) -> DataFrame:
-    """Rows (doc_id, key, sure, look): run hashes that are removed whole, and those that must be looked at."""
+    """Rows (doc_id, key, sure, look): run hashes that are removed whole, and those that must be looked at: of different
+    runs, those that share a side with another document's."""
 
     def run(t: pa.Table) -> pa.Table:
         known = t.filter(t.column("sure").is_valid())
-        t = t.filter(t.column("anchors").is_valid())
+        t = t.filter(t.column("runs").is_valid())
         col = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), kind)
-        anchor, whole, doc, key = col("anchors", _U), col("runs", _U), col("docs", np.int64), col("keys", np.int64)
-        o = np.lexsort((doc, whole, anchor))
-        anchor, whole, doc, key = anchor[o], whole[o], doc[o], key[o]
-        at = np.arange(len(o))
-        new_a, new_h = np.ones(len(o), bool), np.ones(len(o), bool)
-        new_a[1:] = anchor[1:] != anchor[:-1]
-        new_h[1:] = new_a[1:] | (whole[1:] != whole[:-1])
-        least = doc[np.maximum.accumulate(np.where(new_h, at, 0))]
+        whole, left, right, doc, key = col("runs", _U), col("lefts", np.uint32), col("rights", np.uint32), col("docs", np.int64), col("keys", np.int64)
+        o = np.lexsort((doc, whole))
+        whole, left, right, doc, key = whole[o], left[o], right[o], doc[o], key[o]
+        new = np.ones(len(o), bool)
+        new[1:] = whole[1:] != whole[:-1]
+        least = doc[np.maximum.accumulate(np.where(new, np.arange(len(o)), 0))]
         sure = doc > least
-        first = np.flatnonzero(new_a)
-        several = np.add.reduceat(new_h, first) > 1 if len(o) else np.zeros(0, bool)
-        look = ~sure & np.repeat(several, np.diff(np.append(first, len(o))))
+        look, own = np.zeros(len(o), bool), np.flatnonzero(~sure)
+        for side in (left[own], right[own]):
+            q = np.argsort(side, kind="stable")
+            first = np.flatnonzero(np.append(True, side[q][1:] != side[q][:-1])) if len(q) else q
+            if len(q):
+                several = np.minimum.reduceat(doc[own[q]], first) < np.maximum.reduceat(doc[own[q]], first)
+                look[own[q]] |= np.repeat(several, np.diff(np.append(first, len(q))))
         pick = np.flatnonzero(sure | look)
         pick = pick[np.lexsort((key[pick], doc[pick]))]
         cut = np.flatnonzero(np.append(True, (doc[pick][1:] != doc[pick][:-1]) | (key[pick][1:] != key[pick][:-1]))) if len(pick) else np.zeros(0, np.int64)
@@ -150,8 +167,8 @@ def meet(scanned: DataFrame) -> DataFrame:
         for p in np.split(pick, cut[1:]) if len(pick) else []:
             sures.append(whole[p[sure[p]]])
             looks.append(whole[p[look[p]]])
-        own = pa.table([pa.array(doc[pick[cut]], pa.int64()), pa.array(key[pick[cut]], pa.int64()), _blobs(None, sures), _blobs(None, looks)], ["doc_id", "key", "sure", "look"])
-        return pa.concat_tables([own, pa.table([known.column("doc_id"), known.column("key"), known.column("sure"), pa.array([b""] * len(known), pa.binary())], ["doc_id", "key", "sure", "look"])])
+        mine = pa.table([pa.array(doc[pick[cut]], pa.int64()), pa.array(key[pick[cut]], pa.int64()), _blobs(sures), _blobs(looks)], ["doc_id", "key", "sure", "look"])
+        return pa.concat_tables([mine, pa.table([known.column("doc_id"), known.column("key"), known.column("sure"), pa.array([b""] * len(known), pa.binary())], ["doc_id", "key", "sure", "look"])])
 
     return scanned.groupBy("bucket").applyInArrow(run, "doc_id long, key long, sure binary, look binary")
 
@@ -237,14 +254,14 @@ def order(near: DataFrame) -> DataFrame:
                 held, size = [], 0
         keep = np.array([i for i, g in enumerate(gone) if len(g)], np.int64)
         t = t.take(pa.array(keep))
-        return pa.table([t.column("doc_id"), t.column("key"), t.column("run"), _blobs(None, [gone[i] for i in keep])], ["doc_id", "key", "run", "gone"])
+        return pa.table([t.column("doc_id"), t.column("key"), t.column("run"), _blobs([gone[i] for i in keep])], ["doc_id", "key", "run", "gone"])
 
     return near.groupBy("part").applyInArrow(run, "doc_id long, key long, run long, gone binary")
 
 
 def spans(data: bytes, sure: np.ndarray, part: dict[int, np.ndarray]) -> list[tuple[int, int]]:
     """Maximal removed byte ranges of a text, from run hashes that go whole and strings of others that go."""
-    first, count, _, whole = runs(data)
+    first, count, _, whole, *_ = runs(data)
     add = np.zeros(len(data) + 1, np.int64)
     at = np.isin(whole, sure)
     np.add.at(add, first[at], 1)
@@ -275,21 +292,21 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
     more = [f"keep_{i}" for i in range(len(keep))]
     rows = docs.filter(F.col("doc_id").isNotNull() & (F.octet_length("raw") >= LENGTH)).select("doc_id", "key", "raw")
     total = docs.agg(F.sum(F.octet_length("raw").cast("long"))).collect()[0][0] or 0
-    known = table(meet(scan(rows, max(4, -(-total // MEET)))), "met")
-    known = table(known.groupBy("doc_id", "key").agg(F.collect_list("sure").alias("sure"), F.collect_list("look").alias("look")), "known")
-    ids = known.select("doc_id", "key")
-    few = ids.count() <= FEW_IDS
-    side = F.broadcast(ids) if few else ids
-    mine = table(docs.join(side, ["doc_id", "key"], "left_semi").join(known, ["doc_id", "key"]), "mine")
+    met = meet(scan(rows, max(4, -(-total // MEET))))
+    joined = lambda c: F.array_join(F.transform(F.collect_list(c), F.hex), "")
+    known = table(met.groupBy("doc_id", "key").agg(F.unhex(joined("sure")).alias("sure"), F.unhex(joined("look")).alias("look")), "known")
+
+    def of(some: DataFrame) -> DataFrame:
+        """The documents that some (doc_id, key and more) names, with what it has of them; only their texts are moved."""
+        few = some.count() <= FEW_IDS
+        return (docs.join(F.broadcast(some.select("doc_id", "key")), ["doc_id", "key"], "left_semi") if few else docs).join(some, ["doc_id", "key"])
 
     def close(batches):
         for b in batches:
             anchor, doc, key, run, text = [], [], [], [], []
             for d, k, raw, looks in zip(*(c.to_pylist() for c in b.columns)):
-                look = np.frombuffer(b"".join(looks), _U)
-                if not len(look):
-                    continue
-                first, count, a, h = runs(raw)
+                look = np.frombuffer(looks, _U)
+                first, count, a, h, *_ = runs(raw)
                 at = np.flatnonzero(np.isin(h, look))
                 at = at[np.unique(h[at], return_index=True)[1]]
                 anchor += a[at].view(np.int64).tolist()
@@ -299,11 +316,13 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
                 key += [k] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(run, pa.int64()), pa.array(text, pa.binary())], ["anchor", "doc_id", "key", "run", "text"])
 
-    near = table(mine.select("doc_id", "key", "raw", "look").mapInArrow(close, "anchor long, doc_id long, key long, run long, text binary"), "near")
+    near = table(of(known.filter("length(look) > 0").select("doc_id", "key", "look")).select("doc_id", "key", "raw", "look").mapInArrow(close, "anchor long, doc_id long, key long, run long, text binary"), "near")
     parts = max(4, -(-(near.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0) // (2 * ORDER)))
     strings = order(near.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))))
     strings = strings.groupBy("doc_id", "key").agg(F.collect_list("run").alias("run"), F.collect_list("gone").alias("gone"))
-    rest = docs.join(side, ["doc_id", "key"], "left_anti") if few else docs.join(ids, ["doc_id", "key"], "left_anti")
+    cuts = table(known.filter("length(sure) > 0").select("doc_id", "key", "sure").join(strings, ["doc_id", "key"], "full"), "cuts")
+    ids = cuts.select("doc_id", "key")
+    rest = docs.join(F.broadcast(ids) if ids.count() <= FEW_IDS else ids, ["doc_id", "key"], "left_anti")
     rest = rest.select("doc_id", F.octet_length("raw").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("raw", 256).alias("kept_sha256"), *([F.col("raw").cast("string").alias("kept"), F.array().cast("array<struct<start:long,end:long>>").alias("spans")] if keep_text else []), *more)
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -312,7 +331,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
             out = []
             for d, raw, sure, run, gone in zip(*(c.to_pylist() for c in b.columns[:5])):
                 part: dict[int, np.ndarray] = {h & 0xFFFFFFFFFFFFFFFF: np.frombuffer(g, np.int16) for h, g in zip(run or [], gone or [])}
-                cut = spans(raw, np.frombuffer(b"".join(sure), _U), part)
+                cut = spans(raw, np.frombuffer(sure or b"", _U), part)
                 edge = [0, *(x for s in cut for x in s), len(raw)]
                 kept = b"".join(raw[x:y] for x, y in zip(edge[::2], edge[1::2]))
                 more_of = (kept.decode("utf-8", "ignore"), [{"start": x, "end": y} for x, y in cut]) if keep_text else ()
@@ -321,8 +340,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), *b.columns[5:]], [*names, *more])
 
-    cuts = mine.select("doc_id", "key", "raw", "sure", *more).join(strings, ["doc_id", "key"], "left").select("doc_id", "raw", "sure", "run", "gone", *more)
-    out = rest.unionByName(cuts.mapInArrow(apply, rest.schema))
+    out = rest.unionByName(of(cuts).select("doc_id", "raw", "sure", "run", "gone", *more).mapInArrow(apply, rest.schema))
     return out.toDF(*out.columns[: len(out.columns) - len(keep)], *keep)
 
 
