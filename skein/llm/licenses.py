@@ -9,6 +9,9 @@ is a few rows, which are then cut into regions and confirmed.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,11 +57,12 @@ def words(text: Column) -> Column:
     return F.split(F.lower(text), r"[^\p{L}\p{N}]+")
 
 
-def window_rows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
+def window_rows(df: DataFrame, keep: list[str], stride: int, known: list[int] | None = None) -> DataFrame:
     """A row for each window: keep, words, pos (of its first word), s.s0.. (its shingles' hashes, null beyond the
     text's end) and b.b0.. (bands: least hash of its shingles under each of BANDS seeds, hashed with the band's number).
     df has an array column words. Arrays of one struct are exploded so that the optimizer, which moves filters through
-    projections by copying what they refer to, computes each hash once."""
+    projections by copying what they refer to, computes each hash once. With known (shingle hashes), windows without
+    one of them go before their bands are made: a seeded hash of a hash is one to one, so they could share no band."""
     n = F.size("words")
     at = F.explode(F.sequence(F.lit(0), F.greatest(n - SHINGLE, F.lit(0)), F.lit(stride)))
     d = df.filter(n >= SHINGLE).select(*keep, "words", at.alias("pos"))
@@ -66,10 +70,17 @@ def window_rows(df: DataFrame, keep: list[str], stride: int) -> DataFrame:
     shingle = [F.when(F.col("pos") + (j + SHINGLE) <= n, F.xxhash64(*(word(j + k) for k in range(SHINGLE)))) for j in range(WINDOW)]
     once = lambda cols: F.explode(F.array(F.struct(*cols)))
     d = d.select(*keep, "words", "pos", once([s.alias(f"s{j}") for j, s in enumerate(shingle)]).alias("s"))
+    if known is not None:
+        d = d.filter(reduce(or_, (F.coalesce(among(f"s.s{j}", known), F.lit(False)) for j in range(WINDOW))))
     least = lambda i: F.least(*(F.when(F.col(f"s.s{j}").isNotNull(), F.xxhash64(F.col(f"s.s{j}"), F.lit(i))) for j in range(WINDOW)))
     return d.select(*keep, "words", "pos", "s", once([F.xxhash64(F.lit(i), least(i)).alias(f"b{i}") for i in range(BANDS)]).alias("b"))
 
 
+def among(c: str, values: list[int]) -> Column:
+    """c IN values, as text: many literals are slow to hand over."""
+    return F.expr(f"{c} IN ({', '.join(map(str, values)) or 'NULL'})")
+
+
 def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, percent: int = 80, slack: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each region of a text that holds a template: doc_id, template, license, first_word, last_word,
     n_shared (distinct shingles of the template in the region), n_template (all of them) and containment.
@@ -90,11 +101,10 @@ def scan(df: DataFrame, templates: dict[str, list[str]] | None = None, percent:
     for number, band in t_bands.select("number", "band").distinct().collect():
         band_set[number].append(band)
     hash_set = [r[0] for r in t_shingles.select(F.xxhash64(*(F.element_at(F.split("shingle", " "), k + 1) for k in range(SHINGLE)))).distinct().collect()]
-    among = lambda c, values: F.expr(f"{c} IN ({', '.join(map(str, values)) or 'NULL'})")  # noqa: E731  as text: many literals are slow to hand over
     in_bands = [among(f"b.b{i}", band_set[i]) for i in range(BANDS)]
     in_shingles = [among(f"s.s{j}", hash_set) for j in range(STRIDE)]
     docs = df.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("key"), words(F.col(text_col)).alias("words")).filter(F.col("words").isNotNull())
-    w = window_rows(docs, ["doc_id", "key"], STRIDE)
+    w = window_rows(docs, ["doc_id", "key"], STRIDE, hash_set)
     # a window brings the bands that some template has, and those of its first STRIDE shingles that some template has
     hits = F.array_compact(F.array(*(F.when(in_bands[i], F.col(f"b.b{i}")) for i in range(BANDS))))
     text = lambda j: F.array_join(F.slice("words", F.col("pos") + (j + 1), F.lit(SHINGLE)), " ")
