@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skein.llm import bpe
-from skein.llm.common import reach_workers, read
+from skein.llm.common import lean, reach_workers, read
 
 #: Words whose ids a worker keeps; beyond, it forgets all and starts anew.
 MEMO = 500_000
@@ -111,7 +111,7 @@ def encode(df: DataFrame, vocabulary: str, keep_ids: bool = False, id_col: str =
             more = [pa.array(lists, pa.list_(pa.int32())), pa.array(texts, pa.string())] if keep_ids else []
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string()), *more], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["token_ids", "decoded"][: len(more)]])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * keep_ids)
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>, decoded string" * keep_ids)
 
 
 def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from functools import wraps
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Where the package lies; Python workers need it on their path.
@@ -47,3 +50,21 @@ def table(df: DataFrame, name: str = "t") -> DataFrame:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def release() -> None:
+    """Give back what this worker has freed, as workers stay for later stages and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def lean(run):
+    """A function over batches that gives back memory after the last."""
+
+    @wraps(run)
+    def out(batches):
+        yield from run(batches)
+        release()
+
+    return out

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import reach_workers, read
+from skein.llm.common import lean, reach_workers, read
 
 Q = 8
 PATTERN = 120
@@ -190,7 +190,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: st
 
     for k in range(max(1, n)):
         held = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(max(1, n))) == k).collect()]
-        part = rows.mapInArrow(search(held), schema)
+        part = rows.mapInArrow(lean(search(held)), schema)
         out = part if out is None else out.unionByName(part)
     best = F.min(F.struct("edits", "start"))
     return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_regions"), best.alias("b")).select("doc_id", "item_id", "n_regions", F.col("b.edits").alias("edits"), F.col("b.start").alias("start"))

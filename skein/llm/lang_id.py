@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from skein.llm.common import reach_workers, read
+from skein.llm.common import lean, reach_workers, read
 
 WIDTHS = (2, 3, 4)
 FILTERS = 8
@@ -180,7 +180,7 @@ def predict(df: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
                     todo, size = [], 0
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], schema.names)
 
-    return docs.mapInArrow(run, schema).toDF("doc_id", "lang_pred", "score", *keep)
+    return docs.mapInArrow(lean(run), schema).toDF("doc_id", "lang_pred", "score", *keep)
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from skein.llm.common import reach_workers, read, table
+from skein.llm.common import lean, reach_workers, read, release, table
 from skein.llm.components import components
 
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -112,7 +112,7 @@ def signatures(df: DataFrame, k: int, rows: int, bands: int, id_col: str, text_c
                 out.append(mix(key).view(np.int64))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(sig, pa.binary()), pa.array(out, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "sig", "bands"])
 
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, sig binary, bands array<long>")
+    return docs.mapInArrow(lean(run), f"doc_id {kind}, n_shingles long, sig binary, bands array<long>")
 
 
 def connect(rep: np.ndarray, label: np.ndarray, size: np.ndarray, bands: np.ndarray, sets: list[np.ndarray], percent: int, probe: np.ndarray | None = None) -> list[tuple[int, int]]:
@@ -163,7 +163,7 @@ def with_sets(df: DataFrame, nodes: DataFrame, k: int, id_col: str, text_col: st
             out = pa.RecordBatch.from_arrays([pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64())), *b.columns[1:]], schema.names)
             yield out.filter(pa.array([signature(s) == g for s, g in zip(sets, b.column(sig_at).to_pylist())], pa.bool_()))
 
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(lean(run), schema)
 
 
 def compare(rows: DataFrame, parts: int, percent: int) -> DataFrame:
@@ -178,6 +178,7 @@ def compare(rows: DataFrame, parts: int, percent: int) -> DataFrame:
         for at in np.split(order, np.flatnonzero(np.diff(task[order])) + 1):
             probe = col["probe"][at]
             found += connect(col["rep"][at], col["label"][at].copy(), col["n_shingles"][at], np.array([bands[i] for i in at]), [sets[int(i)].values.to_numpy() for i in at], percent, None if not probe.any() else probe)
+        release()
         u, v = np.array(found, np.int64).reshape(-1, 2).T
         return pa.table([pa.array(np.maximum(u, v)), pa.array(np.minimum(u, v))], ["u", "v"])
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skein.llm.common import reach_workers, read, table
+from skein.llm.common import lean, reach_workers, read, release, table
 from skein.llm.suffix_array import suffix_array
 
 LENGTH, GRAM = 50, 16
@@ -35,6 +35,8 @@ SIDE = (LENGTH - GRAM + 1) // 2
 CHUNK = 1 << 22
 #: Text bytes for each group of anchors that meet, and bytes of runs that are put in order together.
 MEET, ORDER = 1 << 24, 1 << 19
+#: Runs that a scan holds before it sends them on.
+RUNS = 600_000
 #: Ids up to this number are broadcast (8 bytes each), more are joined by a shuffle.
 FEW_IDS = 2_000_000
 _U = np.uint64
@@ -129,13 +131,13 @@ def scan(rows: DataFrame, buckets: int) -> DataFrame:
             for i, t in enumerate(b.column(2)):
                 held.append((i, *runs(t.as_py())[2:]))
                 size += len(held[-1][1])
-                if size > 4_000_000:
+                if size > RUNS:
                     yield from flush()
                     held, size = [], 0
             if size:
                 yield from flush()
 
-    return rows.mapInArrow(run, "bucket int, doc_id long, key long, runs binary, lefts binary, rights binary, docs binary, keys binary, sure binary")
+    return rows.mapInArrow(lean(run), "bucket int, doc_id long, key long, runs binary, lefts binary, rights binary, docs binary, keys binary, sure binary")
 
 
 def meet(scanned: DataFrame) -> DataFrame:
@@ -167,6 +169,7 @@ def meet(scanned: DataFrame) -> DataFrame:
         for p in np.split(pick, cut[1:]) if len(pick) else []:
             sures.append(whole[p[sure[p]]])
             looks.append(whole[p[look[p]]])
+        release()
         mine = pa.table([pa.array(doc[pick[cut]], pa.int64()), pa.array(key[pick[cut]], pa.int64()), _blobs(sures), _blobs(looks)], ["doc_id", "key", "sure", "look"])
         return pa.concat_tables([mine, pa.table([known.column("doc_id"), known.column("key"), known.column("sure"), pa.array([b""] * len(known), pa.binary())], ["doc_id", "key", "sure", "look"])])
 
@@ -252,6 +255,7 @@ def order(near: DataFrame) -> DataFrame:
                 for i, g in zip(held, one([texts[i] for i in held], docs[held])):
                     gone[i] = g.astype(np.int16)
                 held, size = [], 0
+        release()
         keep = np.array([i for i, g in enumerate(gone) if len(g)], np.int64)
         t = t.take(pa.array(keep))
         return pa.table([t.column("doc_id"), t.column("key"), t.column("run"), _blobs([gone[i] for i in keep])], ["doc_id", "key", "run", "gone"])
@@ -316,7 +320,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
                 key += [k] * len(at)
             yield pa.RecordBatch.from_arrays([pa.array(anchor, pa.int64()), pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(run, pa.int64()), pa.array(text, pa.binary())], ["anchor", "doc_id", "key", "run", "text"])
 
-    near = table(of(known.filter("length(look) > 0").select("doc_id", "key", "look")).select("doc_id", "key", "raw", "look").mapInArrow(close, "anchor long, doc_id long, key long, run long, text binary"), "near")
+    near = table(of(known.filter("length(look) > 0").select("doc_id", "key", "look")).select("doc_id", "key", "raw", "look").mapInArrow(lean(close), "anchor long, doc_id long, key long, run long, text binary"), "near")
     parts = max(4, -(-(near.agg(F.sum(F.octet_length("text").cast("long"))).collect()[0][0] or 0) // (2 * ORDER)))
     strings = order(near.withColumn("part", F.pmod(F.xxhash64("anchor"), F.lit(parts))))
     strings = strings.groupBy("doc_id", "key").agg(F.collect_list("run").alias("run"), F.collect_list("gone").alias("gone"))
@@ -340,7 +344,7 @@ def dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_te
             names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "spans"][: len(kinds)]
             yield pa.RecordBatch.from_arrays([*(pa.array([r[k] for r in out], kind) for k, kind in enumerate(kinds)), *b.columns[5:]], [*names, *more])
 
-    out = rest.unionByName(of(cuts).select("doc_id", "raw", "sure", "run", "gone", *more).mapInArrow(apply, rest.schema))
+    out = rest.unionByName(of(cuts).select("doc_id", "raw", "sure", "run", "gone", *more).mapInArrow(lean(apply), rest.schema))
     return out.toDF(*out.columns[: len(out.columns) - len(keep)], *keep)
 
 
