@@ -17,6 +17,8 @@ GAP = r"[\x20\x09-\x0D]+"
 COMMON = 24
 #: What removes all but one class of characters; lower-case letters and the rest are what is left of the text.
 CLASSES = {"upper": r"[^\p{Lu}]+", "lower": r"[^\p{Ll}]+", "digit": r"[^\p{Nd}]+", "punct": r"[^.,;:!?'\"()\[\]-]+", "symbol": r"[^#*$%&|<>]+"}
+#: Up to so many repeated windows are looked for one by one.
+SHORT = 64
 #: References of fewer words than this judge nothing; broadcast up to so many languages, joined by a shuffle beyond.
 LEAST_REFERENCE, FEW = 1000, 1000
 
@@ -45,11 +47,17 @@ def base_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     size = lambda pattern: F.length(F.regexp_replace("text", pattern, "")).cast("long")
     d = d.select("doc_id", "lang", F.when(F.col("body") == "", F.array().cast("array<string>")).otherwise(F.split("body", GAP)).alias("words"), size(GAP).alias("word_chars"), F.length("text").cast("long").alias("n_chars"), *(size(p).alias(k) for k, p in CLASSES.items()), F.filter(F.split("text", "\n"), has_word).alias("lines"))
     n = F.size("words")
-    window = lambda w, i: F.struct(F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)).alias("h"), i.alias("p"))
-    d = d.select("*", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(n < 3, F.array().cast("array<struct<h:bigint,p:int>>")).otherwise(F.sort_array(F.slice(F.transform("words", window), F.lit(1), F.greatest(n - 2, F.lit(1))))).alias("windows")).drop("lines")
-    # places of windows that stand next to an equal one in the order of hashes
-    twice = lambda x, i: ((i > 0) & (F.get("windows", i - 1)["h"] == x["h"])) | F.coalesce(F.get("windows", i + 1)["h"] == x["h"], F.lit(False))
-    d = d.withColumn("places", F.sort_array(F.transform(F.filter("windows", twice), lambda x: x["p"]))).drop("windows")
+    window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
+    d = d.select("*", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.slice(F.transform("words", window), F.lit(1), F.greatest(n - 2, F.lit(0))).alias("windows")).drop("lines")
+    d = d.withColumn("ordered", F.sort_array("windows"))
+    d = d.withColumn("often", F.array_distinct(F.filter("ordered", lambda x, i: (i > 0) & (F.get("ordered", i - 1) == x)))).drop("ordered")
+    # places of windows that are found twice: by a look into a short list, or else in the order of hashes
+    short = F.filter(F.transform("windows", lambda h, i: F.when(F.array_contains("often", h), i).otherwise(-1)), lambda i: i >= 0)
+    pairs = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("p"))))
+    twice = lambda x, i, all_: ((i > 0) & (F.get(all_, i - 1)["h"] == x["h"])) | F.coalesce(F.get(all_, i + 1)["h"] == x["h"], F.lit(False))
+    long = F.get(F.transform(F.array(pairs), lambda y: F.sort_array(F.transform(F.filter(y, lambda x, i: twice(x, i, y)), lambda x: x["p"]))), F.lit(0))
+    few = F.size("often")
+    d = d.withColumn("places", F.when(few == 0, F.array().cast("array<int>")).when(few <= SHORT, short).otherwise(long)).drop("windows", "often")
     cover = F.transform("places", lambda p, i: F.least(F.lit(3), F.get("places", i + 1) - p))
     return d.withColumn("n_repeat_words", F.aggregate(cover, F.lit(0), lambda a, x: a + x).cast("long")).withColumn("n_symbols", F.col("symbol")).drop("places")
 
