@@ -558,7 +558,7 @@ SITEMAP_HEAD = '<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
 def s06_sitemap_entries(spark, sf):
     day = F.date_format(F.date_add(F.lit("2024-01-01").cast("date"), F.col("page_id").cast("int")), "yyyy-MM-dd")
     xml = F.concat(F.lit(SITEMAP_HEAD + "<url><loc>https://one.example/"), F.col("page_id"), F.lit("</loc><lastmod>"), day, F.when(F.col("page_id") % 4 == 3, "</broken>").otherwise("</lastmod></url></urlset>"))
-    files = read(spark, sf, "pages").filter("page_id < 300").select(F.col("page_id").cast("string").alias("url"), F.encode(xml, "UTF-8").alias("content"), F.lit("text/xml").alias("content_type"))
+    files = read(spark, sf, "pages").select(F.col("page_id").cast("string").alias("url"), F.encode(xml, "UTF-8").alias("content"), F.lit("text/xml").alias("content_type"))
     return sitemap.entries(files).select(F.col("sitemap_url").cast("long").alias("page_id"), "loc", "lastmod")
 
 
