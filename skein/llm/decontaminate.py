@@ -3,7 +3,8 @@
 Benchmark items are cut into overlapping patterns. A pattern of m bytes within e edits of some text shares at least
 m - q + 1 - e*q of its q-grams with it, and those lie on at most e + 1 neighbouring diagonals (place in the text less
 place in the pattern). So hits are counted by pattern and diagonal band (bands of 2(e + 1) diagonals, one every
-e + 1), bands under the bound are dropped, and what is left is aligned within its band.
+e + 1), bands under the bound are dropped (first over a whole stretch of an item, then by piece), and what is left is
+aligned within its band.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from pyspark.sql.pandas.types import to_arrow_type
 from skein.llm.common import lean, reach_workers, read
 
 Q = 8
-PATTERN = 120
+#: Bytes of a piece, and bytes from one to the next: no more than its edits at the usual rate, so that a quote which
+#: holds no whole piece still holds all but these edits of one.
+PATTERN, STRIDE = 120, 12
+#: Pieces that begin in so many bytes of an item are counted together first; a stretch and its last piece are under 1 << 12.
+STRETCH = 960
 #: Normalised patterns shorter than this say too little and are never matched.
 LEAST = 24
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is taken in blocks.
@@ -32,12 +37,16 @@ def normal(text: str) -> bytes:
     return b" ".join(text.lower().encode().split())
 
 
+def places(size: int) -> list[tuple[int, int]]:
+    """(start, bytes) of the pieces of an item of so many bytes: one every STRIDE, the last flush with the end; an item
+    that is hardly longer or shorter than PATTERN also counts whole."""
+    whole = [(0, size)] if LEAST <= size <= PATTERN * 4 // 3 else []
+    last = size - PATTERN
+    return whole + [(k, PATTERN) for k in (*range(0, last, STRIDE), last) if last > 0]
+
+
 def patterns(item: bytes) -> list[bytes]:
-    """Pieces of PATTERN bytes, one every half of that, the last flush with the end; a shorter item is one piece."""
-    if len(item) <= PATTERN * 4 // 3:
-        return [item] if len(item) >= LEAST else []
-    starts = [*range(0, len(item) - PATTERN, PATTERN // 2), len(item) - PATTERN]
-    return [item[k : k + PATTERN] for k in starts]
+    return [item[k : k + m] for k, m in places(len(item))]
 
 
 def grams(data: bytes | np.ndarray) -> np.ndarray:
@@ -47,16 +56,30 @@ def grams(data: bytes | np.ndarray) -> np.ndarray:
 
 
 class Index:
+    """Stretches of items with their grams, and the pieces that lie in them."""
+
     def __init__(self, items: list[tuple[object, str]], rate: float):
-        self.item, self.text = [], []
+        self.item, texts, pieces = [], [], []
+        self.text: list[bytes] = []
         for key, text in items:
-            for p in patterns(normal(text or "")):
-                self.item.append(key)
-                self.text.append(p)
-        size = np.array([len(p) for p in self.text], np.int64)
-        self.budget = (size * rate).astype(np.int64)
-        self.bound = np.maximum(1, size - Q + 1 - self.budget * Q)
-        codes = [grams(p) for p in self.text]
+            whole = normal(text or "")
+            by_stretch: dict[int, list[tuple[int, int]]] = {}
+            for k, m in places(len(whole)):
+                by_stretch.setdefault(k // STRETCH, []).append((k, m))
+            for some in by_stretch.values():
+                begin, end = min(k for k, _ in some), max(k + m for k, m in some)
+                pieces += [(len(texts), k - begin, m) for k, m in some]
+                texts.append(whole[begin:end])
+                self.item += [key] * len(some)
+                self.text += [whole[k : k + m] for k, m in some]
+        within, self.start, self.size = (np.array([x[i] for x in pieces], np.int64) for i in range(3))
+        self.budget = (self.size * rate).astype(np.int64)
+        self.bound = np.maximum(1, self.size - Q + 1 - self.budget * Q)
+        self.first_piece = np.searchsorted(within, np.arange(len(texts) + 1))
+        # of a stretch: its bands are wide enough for each of its pieces, its bound is the lowest
+        self.step = np.maximum.reduceat(self.budget, self.first_piece[:-1]) + 1 if texts else within
+        self.least = np.minimum.reduceat(self.bound, self.first_piece[:-1]) if texts else within
+        codes = [grams(p) for p in texts]
         code = np.concatenate([*codes, np.zeros(0, np.uint64)])
         owner = np.repeat(np.arange(len(codes)), [len(c) for c in codes])
         place = np.concatenate([*(np.arange(len(c)) for c in codes), np.zeros(0, np.int64)]).astype(np.int64)
@@ -80,62 +103,72 @@ class Index:
         at, k = at[ok], k[ok]
         n = self.first[k + 1] - self.first[k]
         which = np.repeat(self.first[k] - np.cumsum(n) + n, n) + np.arange(n.sum())
-        at, pat = np.repeat(at, n), self.owner[which]
-        diagonal = at - self.place[which] + PATTERN * 2  # never negative
-        step = self.budget[pat] + 1
-        band = diagonal // step
+        at, own, place = np.repeat(at, n), self.owner[which], self.place[which]
+        band = (at - place + (1 << 13)) // self.step[own]  # never negative
         # a hit counts for the band that begins in its step and for the one before
-        key = np.concatenate([(band << 24) | pat, ((band - 1) << 24) | pat])
-        key.sort()
-        edge = np.flatnonzero(np.diff(key, prepend=-1, append=-1))
-        count, key = np.diff(edge), key[edge[:-1]]
-        pat, band = key & 0xFFFFFF, key >> 24
-        ok = count >= self.bound[pat]
+        key = np.concatenate([(band << 24) | own, ((band - 1) << 24) | own])
+        ordered = np.sort(key)
+        edge = np.flatnonzero(np.diff(ordered, prepend=-1, append=-1))
+        count, live = np.diff(edge), ordered[edge[:-1]]
+        live = live[count >= self.least[live & 0xFFFFFF]]
+        if not len(live):
+            return
+        # in bands that have enough for a piece somewhere, hits are counted by piece
+        k = np.minimum(np.searchsorted(live, key), len(live) - 1)
+        hit = np.flatnonzero(live[k] == key)
+        code = np.sort((k[hit] << 12) | place[hit % len(place)])
+        own, band = live & 0xFFFFFF, live >> 24
+        n = self.first_piece[own + 1] - self.first_piece[own]
+        piece = np.repeat(self.first_piece[own] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        k = np.repeat(np.arange(len(live)), n)
+        low = (k << 12) + self.start[piece]
+        count = np.searchsorted(code, low + self.size[piece] - Q, "right") - np.searchsorted(code, low)
+        ok = np.flatnonzero(count >= self.bound[piece])
         found = []
-        for p, b in zip(pat[ok].tolist(), band[ok].tolist()):
-            e, text = int(self.budget[p]), self.text[p]
-            low = b * (e + 1) - PATTERN * 2
-            doc = int(np.searchsorted(begin, max(0, low + e + 1) + len(text) // 2, "right")) - 1
+        for p, b, step in zip(piece[ok].tolist(), band[k[ok]].tolist(), self.step[own[k[ok]]].tolist()):
+            low = b * step - (1 << 13) + int(self.start[p])
+            doc = int(np.searchsorted(begin, max(0, low + step) + int(self.size[p]) // 2, "right")) - 1
             if not 0 <= doc < len(docs):
                 continue
-            found.append((doc, p, low - int(begin[doc])))
+            found.append((doc, p, low - int(begin[doc]), step))
         yield from self.verify(docs, found)
 
-    def verify(self, docs: list[bytes], found: list[tuple[int, int, int]]):
+    def verify(self, docs: list[bytes], found: list[tuple[int, int, int, int]]):
         slow = []
-        for doc, p, low in found:
-            e, text = int(self.budget[p]), self.text[p]
-            if (k := docs[doc].find(text, max(0, low), low + 2 * (e + 1) + len(text))) >= 0:
+        for doc, p, low, step in found:
+            text = self.text[p]
+            if (k := docs[doc].find(text, max(0, low), max(0, low + 2 * step + len(text)))) >= 0:
                 yield doc, p, k, 0
             else:
-                slow.append((doc, p, low))
-        by_size: dict[int, list] = {}
+                slow.append((doc, p, low, step))
+        by_size: dict[tuple[int, int], list] = {}
         for x in slow:
-            by_size.setdefault(len(self.text[x[1]]), []).append(x)
-        for size, some in by_size.items():
+            by_size.setdefault((len(self.text[x[1]]), x[3]), []).append(x)
+        for (_, step), some in by_size.items():
             for k in range(0, len(some), 512):
                 part = some[k : k + 512]
                 e = int(self.budget[part[0][1]])
-                for (doc, p, low), (cost, start) in zip(part, banded([self.text[p] for _, p, _ in part], [docs[d] for d, _, _ in part], [low for *_, low in part], 2 * (e + 1), e)):
+                for (doc, p, *_), (cost, start) in zip(part, banded([self.text[p] for _, p, *_ in part], [docs[d] for d, *_ in part], [x[2] for x in part], 2 * step, e)):
                     if cost <= e:
                         yield doc, p, start, cost
 
 
 def banded(pats: list[bytes], texts: list[bytes], lows: list[int], width: int, e: int) -> list[tuple[int, int]]:
     """For patterns of one length: fewest edits that align the whole pattern with a part of its text on the diagonals
-    from low - e to low + width + e, and about where that part starts. All pairs advance together, row by row."""
+    from low - e to low + width + e, and about where that part starts; (e + 1, 0) if there are more than e. All pairs advance together, row by row."""
     m, w = len(pats[0]), width + 2 * e + 1
     a = np.frombuffer(b"".join(pats), np.uint8).reshape(len(pats), m)
     t = np.zeros((len(pats), m + w), np.uint8)
     off = np.zeros((len(pats), m + w), bool)
-    for row, out, text, low in zip(t, off, texts, lows):
+    for row, beyond, text, low in zip(t, off, texts, lows):
         k = np.arange(low - e, low - e + m + w)
         inside = (k >= 0) & (k < len(text))
         row[inside] = np.frombuffer(text, np.uint8)[k[inside]]
-        out[:] = ~inside
-    ramp, far = np.arange(w), 1 << 20
-    d = np.zeros((len(pats), w), np.int64)
+        beyond[:] = ~inside
+    ramp, far = np.arange(w, dtype=np.int16), np.int16(1 << 14)
+    d = np.zeros((len(pats), w), np.int16)
     back = np.broadcast_to(ramp, d.shape).copy()
+    out, left = [(e + 1, 0)] * len(pats), np.arange(len(pats))
     for i in range(m):
         cost = d + ((t[:, i : i + w] != a[:, i : i + 1]) | off[:, i : i + w])
         skip = np.full_like(d, far)
@@ -146,16 +179,26 @@ def banded(pats: list[bytes], texts: list[bytes], lows: list[int], width: int, e
         best = np.minimum(cost, skip)
         run = np.minimum.accumulate(best - ramp, axis=1) + ramp
         lead = np.maximum.accumulate(np.where(run == best, ramp, 0), axis=1)
-        back = np.take_along_axis(src, lead, axis=1)
+        back = np.take_along_axis(src, lead.astype(np.intp), axis=1)
         d = run
+        if i % 8 == 7:  # the fewest edits of a row never fall, so pairs beyond e are out
+            on = d.min(axis=1) <= e
+            if not on.all():
+                t, off, a, d, back, left = t[on], off[on], a[on], d[on], back[on], left[on]
+            if not len(left):
+                return out
     end = d.argmin(axis=1)
-    return [(int(row[k]), max(0, low - e + int(b[k]))) for row, k, low, b in zip(d, end, lows, back)]
+    for n, row, k, b in zip(left.tolist(), d, end, back):
+        out[n] = int(row[k]), max(0, lows[n] - e + int(b[k]))
+    return out
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and benchmark item that it holds: doc_id, item_id, n_regions (verified bands), edits
     (fewest, in one pattern) and start (of the best, in bytes of the normalised text).
 
+    At rate 0.1 a quote of PATTERN + STRIDE - 1 = 131 bytes holds a whole piece of its item wherever it starts, and an
+    unchanged quote of 108 bytes is found too. Of items up to PATTERN bytes the whole is looked for.
     Documents with no match give no row. Null or empty texts and items match nothing; nor do patterns of under LEAST
     bytes. Rows that repeat an id count together. Further columns are ignored; empty tables give an empty result.
     The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text and each block meets all documents.
