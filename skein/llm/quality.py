@@ -69,13 +69,13 @@ def common_words(words: DataFrame, k: int = COMMON) -> DataFrame:
     return best.groupBy("lang").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("word", F.char(F.col("r") + 96).alias("mark"))))).alias("marks"))
 
 
-def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, least_chars: int = 200, least_words: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, least_chars: int = 200, least_words: int = 50, most_share: float = 0.9, share_words: int = 100, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, char_distance, word_distance and
     kept of every row.
 
     kept is false if the base rules fail, or if char_distance exceeds most_chars in a text of least_chars characters or
-    more, or word_distance exceeds most_words in one of least_words words or more. Null and empty texts have no words
-    and fail the base rules. Rows without a language form a group of their own. A distance is null where the document
+    more, or word_distance exceeds most_words in one of least_words words or more, or most_share of the distance that a
+    text without any of the common words has in one of share_words or more. Null and empty texts have no words and fail the base rules. Rows without a language form a group of their own. A distance is null where the document
     or its reference has too little text. Ids may be null or repeat; each row gives one row. Further columns are
     ignored; an empty table gives an empty result.
     """
@@ -94,9 +94,11 @@ def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, leas
     d = table(d.select("doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", chars.alias("chars"), hist.alias("hist")), "features")
     total = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
     refs = d.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), total("chars", len(CLASSES) + 2).alias("ref_chars"), total("hist", COMMON + 1).alias("ref_hist")).filter(F.col("ref_words") >= LEAST_REFERENCE).drop("ref_words")
+    none = F.array(*[F.lit(0.0)] * COMMON, F.lit(1.0))
+    refs = refs.withColumn("most", most_share * js_distance(none, F.col("ref_hist")))
     d = d.join(near(refs), "lang", "left").withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("hist"), F.col("ref_hist")))
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    odd = ((F.col("n_chars") >= least_chars) & (F.col("char_distance") > most_chars)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_words))
+    odd = ((F.col("n_chars") >= least_chars) & (F.col("char_distance") > most_chars)) | ((F.col("n_words") >= least_words) & (F.col("word_distance") > most_words)) | ((F.col("n_words") >= share_words) & (F.col("word_distance") > F.col("most")))
     return d.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", failed.alias("base_failed"), "char_distance", "word_distance", (~failed & ~F.coalesce(odd, F.lit(False))).alias("kept"))
 
 

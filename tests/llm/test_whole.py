@@ -2,7 +2,7 @@
 
 import random
 
-from skein.llm import decontaminate
+from skein.llm import decontaminate, quality
 
 
 def test_quotes_at_every_offset(spark):
@@ -22,3 +22,15 @@ def test_quotes_at_every_offset(spark):
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, benchmark).collect()}
     assert got == {(d, i) for d, _, i in rows}
+
+
+def test_short_texts_without_common_words(spark):
+    common, rng = [f"c{i}" for i in range(24)], random.Random(6)
+    good = lambda n, share: " ".join(rng.choice(common) if rng.random() < share else f"rare{rng.randint(0, 9999)}" for _ in range(n))
+    # of texts without common words the distance is over 0.5 only where these are frequent
+    for share, gone in ((0.7, [1050, 1060, 1099, 1100, 1150]), (0.3, [1100, 1150])):
+        rows = [(i, good(rng.randint(60, 300), share), "en") for i in range(300)]
+        rows += [(1000 + n, " ".join(f"odd{rng.randint(0, 9999)}" for _ in range(n)), "en") for n in (50, 60, 99, 100, 150)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        kept = {r["doc_id"]: r["kept"] for r in quality.judge(df, most_chars=1.0).collect()}
+        assert sorted(d for d, k in kept.items() if not k) == gone
