@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skein.llm.common import read, table
+from skein.llm.common import read, scratch, table
 
 N_SLOTS = 4096
 
@@ -107,17 +107,22 @@ def _lookup(values: list[int], key: str, kind: str):
     return F.element_at(F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>"), F.col(key) + 1)
 
 
-def assign(df: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def assign(df: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Deal rows to shards of near equal bytes. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
     slot is the row's place in its shard, gapless from 0: the rows before the shard's earlier virtual slots plus the
-    row's rank in its own, so that no task ever sorts a whole shard. A given slot_map is used as it is.
+    row's rank in its own, so that no task ever sorts a whole shard. A given slot_map is used as it is; else a map is planned, stored
+    under map_path (a new folder of the shared one if none is named) as its version 1, and used as read back from there.
     Null text counts as empty (size 1); null ids, repeated rows and ties get places like any other row (among equal
     rows in no set order); an empty table gives an empty result; further columns are ignored.
     """
     rows = table(with_slots(df, id_col, text_col, n_slots), "slots")
     size, count = slot_totals(rows)
-    m = slot_map or plan_map(size, n_shards, n_slots)
+    m = slot_map
+    if m is None:
+        path = map_path or scratch(df.sparkSession, "slot_map")
+        save_map(df.sparkSession, plan_map(size, n_shards, n_slots), path)
+        m = load_map(df.sparkSession, path)
     first, base = [0] * n_slots, [0] * m.n_shards
     for s in range(n_slots):
         first[s] = base[m.owner[s]]

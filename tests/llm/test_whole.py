@@ -2,7 +2,7 @@
 
 import random
 
-from skein.llm import decontaminate, quality
+from skein.llm import decontaminate, quality, sharding
 
 
 def test_quotes_at_every_offset(spark):
@@ -34,3 +34,10 @@ def test_short_texts_without_common_words(spark):
         df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
         kept = {r["doc_id"]: r["kept"] for r in quality.judge(df, most_chars=1.0).collect()}
         assert sorted(d for d, k in kept.items() if not k) == gone
+
+
+def test_planned_map_is_stored(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(sharding, "scratch", lambda spark, name: str(tmp_path / name), raising=False)
+    rows = sharding.op7_sharding(spark, sf).select("vslot", "shard").distinct().collect()
+    m = sharding.load_map(spark, str(tmp_path / "slot_map"))
+    assert m.version == 1 and rows and all(m.owner[r["vslot"]] == r["shard"] for r in rows)
