@@ -12,7 +12,7 @@ import hashlib
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skein.llm.common import reach_workers, read, scratch, table
@@ -63,15 +63,16 @@ def record(block: bytes, **fields) -> bytes:
     return f"WARC/1.1\r\n{lines}Content-Length: {len(block)}\r\n\r\n".encode() + block
 
 
-def record_id(page_id, digest: str) -> str:
-    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{page_id}/{digest}')}>"
+def record_id(page_id, digest: str, nth: int = 0, kind: str = "") -> str:
+    """nth tells rows apart that repeat a page_id and payload; only those after the first carry it."""
+    return f"<urn:uuid:{uuid.uuid5(SPACE, f'{kind}{page_id}/{digest}' + (f'/repeat/{nth}' if nth else ''))}>"
 
 
-def records(page_id, url: str | None, payload: bytes, first_id, segment_bytes: int) -> list[bytes]:
+def records(page_id, url: str | None, payload: bytes, first_id, segment_bytes: int, nth: int = 0) -> list[bytes]:
     """The records of a page: a revisit if first_id (the page whose payload is the same) is given, else a response,
     cut into a first segment and continuations where its block is longer than segment_bytes."""
     digest = base32_sha1(payload)
-    own = record_id(page_id, digest) if first_id is None else f"<urn:uuid:{uuid.uuid5(SPACE, f'revisit/{page_id}/{digest}')}>"
+    own = record_id(page_id, digest, nth, "" if first_id is None else "revisit/")
     base = {"WARC_Record_ID": own, "WARC_Date": DATE, "WARC_Target_URI": (url or "").replace("\r", "%0D").replace("\n", "%0A") or None, "WARC_Payload_Digest": f"sha1:{digest}", "X_Page_ID": page_id, "Content_Type": "application/http; msgtype=response"}
     if first_id is not None:
         return [record(HTTP, WARC_Type="revisit", WARC_Profile=PROFILE, WARC_Refers_To=record_id(first_id, digest), **base)]
@@ -106,7 +107,8 @@ def parse(data: bytes):
 
 def write(pages: DataFrame, path: str, segment_bytes: int = 32768, least: int = 0, per_file: int = 5000) -> None:
     """Write a record for each row of pages (page_id, url, html). Of rows with equal payloads of at least ``least``
-    bytes the smallest page_id becomes a response and the others revisits. Null html is an empty payload."""
+    bytes the smallest page_id becomes a response and the others revisits. Null html is an empty payload. Rows that
+    repeat a page_id (or null) and html are numbered in their record ids; only such rows are shuffled."""
     reach_workers(pages.sparkSession)
     rows = pages.select("page_id", "url", F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload")).withColumn("same", F.when(F.octet_length("payload") >= least, F.sha1("payload")))
     first = rows.filter(F.col("same").isNotNull()).groupBy("same").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("same", "first")
@@ -114,12 +116,22 @@ def write(pages: DataFrame, path: str, segment_bytes: int = 32768, least: int =
     dup = rows.select("page_id", "same").join(first, "same").filter("page_id > first").select("page_id", "same", "first").distinct()
     few = dup.count() <= 1_000_000
     rows = rows.join(F.broadcast(dup) if few else dup, ["page_id", "same"], "left").select("page_id", "url", "payload", "first")
+    digest = F.sha1("payload")
+    twice = table(rows.groupBy("page_id", digest.alias("digest")).count().filter("count > 1").select(F.col("page_id").alias("id"), "digest"), "twice")
+    n_twice = twice.count()
+    if n_twice:
+        twice = F.broadcast(twice) if n_twice <= 1_000_000 else twice
+        same = F.col("page_id").eqNullSafe(F.col("id")) & (digest == F.col("digest"))
+        nth = F.row_number().over(Window.partitionBy("page_id", digest).orderBy("url")) - 1
+        rows = rows.join(twice, same, "left_anti").withColumn("nth", F.lit(0)).unionByName(rows.join(twice, same, "left_semi").withColumn("nth", nth))
+    else:
+        rows = rows.withColumn("nth", F.lit(0))
 
     def run(batches):
         for b in batches:
             out: list[bytes] = []
-            for p, u, x, f in zip(*(c.to_pylist() for c in b.columns)):
-                out += records(p, u, x, f, segment_bytes)
+            for p, u, x, f, nth in zip(*(c.to_pylist() for c in b.columns)):
+                out += records(p, u, x, f, segment_bytes, nth)
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
 
     rows.mapInArrow(run, "value binary").select(F.col("value").cast("string")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", per_file).text(path)
@@ -181,7 +193,7 @@ TYPES = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "binary"
 
 def captures(records: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to (the response's page_id) and ok of each page;
-    a revisit takes its length from the response it refers to. A page_id repeated with the same html is one capture."""
+    a revisit takes its length from the response it refers to. Copies of a record count once."""
     rows = records.dropDuplicates(["record_type", "record_id"])
     found = rows.filter("record_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"), F.col("ok").alias("to_ok"))
     again = rows.filter("record_type = 'revisit'").select("page_id", "digest", "refers_to").join(found, "refers_to", "left")
@@ -190,7 +202,7 @@ def captures(records: DataFrame) -> DataFrame:
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null html is an empty payload; ties on page_id are one capture if the html is the same, else one row each;
+    """Null html is an empty payload; ties on page_id and null page_ids are one row each, whatever their html;
     further columns of pages are ignored; an empty table gives an empty result."""
     path = scratch(spark, "warc")
     write(read(spark, sf_dir, "pages"), path)

@@ -2,7 +2,7 @@
 
 import random
 
-from skein.llm import decontaminate, quality, sharding
+from skein.llm import decontaminate, quality, sharding, warc
 
 
 def test_quotes_at_every_offset(spark):
@@ -41,3 +41,13 @@ def test_planned_map_is_stored(spark, sf, tmp_path, monkeypatch):
     rows = sharding.op7_sharding(spark, sf).select("vslot", "shard").distinct().collect()
     m = sharding.load_map(spark, str(tmp_path / "slot_map"))
     assert m.version == 1 and rows and all(m.owner[r["vslot"]] == r["shard"] for r in rows)
+
+
+def test_warc_row_for_each_page(spark, tmp_path):
+    long = "x" * 90000
+    rows = [(6, "http://e/", "a")] * 2 + [(None, "http://f/", "b")] * 3 + [(None, None, "a"), (8, "http://h/", None)] + [(7, "http://g/", "a")] * 2 + [(1, "http://i/", long)] * 2
+    spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3).write.parquet(str(tmp_path / "pages.parquet"))
+    got = warc.op8_warc(spark, str(tmp_path)).collect()
+    assert all(r["ok"] for r in got)
+    assert sorted((str(r["page_id"]), r["payload_bytes"]) for r in got) == sorted((str(p), len(h or "")) for p, _, h in rows)
+    assert [r["refers_to"] for r in got if r["page_id"] == 7] == [6, 6]
