@@ -181,3 +181,17 @@ def test_pipeline_stages(spark, docs, benchmark, tmp_path):
             assert name == corpus_pipeline.STAGES[-1][0] or tuple(d.columns) == corpus_pipeline.COLUMNS
             d.write.mode("overwrite").parquet(str(tmp_path / f"{k}"))
             d = spark.read.parquet(str(tmp_path / f"{k}"))
+
+
+def test_substrings_whatever_the_hashes(spark):
+    """Hashes of six bits make nearly everything collide; anchors of any size are split into strings."""
+    import random
+
+    rng = random.Random(8)
+    seen = ["".join(rng.choice("abcd é") for _ in range(rng.randint(40, 300))) for _ in range(10)]
+    rows = [(i, "".join(x[rng.randint(0, 20) :][: rng.randint(40, 200)] + "".join(rng.choice("xyz") for _ in range(rng.randint(0, 30))) for x in rng.choices(seen, k=rng.randint(0, 3)))) for i in range(90)]
+    rows += [(i + 30, t) for i, t in rows[::9]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = sorted(brute.repeats(rows))
+    for bits, hot in ((6, substrings.HOT), (64, 1), (6, 1)):
+        assert sorted(tuple(r) for r in substrings.dedup(df, hash_bits=bits, hot=hot).collect()) == want
