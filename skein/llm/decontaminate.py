@@ -9,13 +9,14 @@ aligned within its band.
 
 from __future__ import annotations
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from skein.llm.common import lean, reach_workers, read
+from skein.llm.common import lean, reach_workers, read, table
 
 Q = 8
 #: Bytes of a piece, and bytes from one to the next: no more than its edits at the usual rate, so that a quote which
@@ -23,7 +24,7 @@ Q = 8
 PATTERN, STRIDE = 120, 12
 #: Pieces that begin in so many bytes of an item are counted together first; a stretch and its last piece are under 1 << 12.
 STRETCH = 960
-#: Normalised patterns shorter than this say too little and are never matched.
+#: Normalised items shorter than this are matched unchanged and as whole words only; edits would make them anything.
 LEAST = 24
 #: Bytes of benchmark text that are sent to the executors at once; a larger benchmark is taken in blocks.
 BLOCK_BYTES = 8 << 20
@@ -61,8 +62,11 @@ class Index:
     def __init__(self, items: list[tuple[object, str]], rate: float):
         self.item, texts, pieces = [], [], []
         self.text: list[bytes] = []
+        short: dict[str, list] = {}
         for key, text in items:
             whole = normal(text or "")
+            if 0 < len(whole) < LEAST:
+                short.setdefault(f" {whole.decode('latin-1')} ", []).append(key)
             by_stretch: dict[int, list[tuple[int, int]]] = {}
             for k, m in places(len(whole)):
                 by_stretch.setdefault(k // STRETCH, []).append((k, m))
@@ -90,6 +94,22 @@ class Index:
         self.bits = np.uint64(64 - max(16, int(16 * len(self.codes) + 1).bit_length()))
         self.maybe = np.zeros(1 << int(64 - self.bits), bool)
         self.maybe[(self.codes * _C) >> self.bits] = True
+        self.short = ahocorasick.Automaton() if short else None
+        for word, keys in short.items():
+            self.short.add_word(word, (len(word), keys))
+        if short:
+            self.short.make_automaton()
+
+    def __bool__(self) -> bool:
+        return bool(self.text or self.short)
+
+    def hits(self, docs: list[bytes]):
+        """(doc number, item, start, edits) of every verified region, one for each band or unchanged short item."""
+        for i, d in enumerate(docs) if self.short else ():
+            for end, (size, keys) in self.short.iter(f" {d.decode('latin-1')} "):
+                yield from ((i, key, end - size + 1, 0) for key in keys)
+        for i, p, start, edits in self.find(docs) if self.text else ():
+            yield i, self.item[p], start, edits
 
     def find(self, docs: list[bytes]):
         """(doc number, pattern number, start, edits) of every verified region, one for each band."""
@@ -199,9 +219,11 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: st
 
     At rate 0.1 a quote of PATTERN + STRIDE - 1 = 131 bytes holds a whole piece of its item wherever it starts, and an
     unchanged quote of 108 bytes is found too. Of items up to PATTERN bytes the whole is looked for.
-    Documents with no match give no row. Null or empty texts and items match nothing; nor do patterns of under LEAST
-    bytes. Rows that repeat an id count together. Further columns are ignored; empty tables give an empty result.
-    The benchmark goes to the executors in blocks of at most BLOCK_BYTES of text and each block meets all documents.
+    Items under LEAST bytes are found where they stand unchanged as whole words.
+    Documents with no match give no row. Null or empty texts and items match nothing. Rows that repeat an id count
+    together. Further columns are ignored; empty tables give an empty result.
+    The benchmark goes to the executors in blocks of about BLOCK_BYTES of text, one after the other through the driver,
+    and each block meets all documents.
     """
     reach_workers(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter("text IS NOT NULL")
@@ -215,7 +237,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: st
     def search(held: list[tuple]):
         def run(batches):
             index = Index(held, rate)
-            for b in batches if index.text else ():
+            for b in batches if index else ():
                 ids, docs, size = [], [], 0
                 last = b.num_rows - 1
                 for i, (d, t) in enumerate(zip(b.column(0), b.column(1))):
@@ -224,9 +246,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: st
                     size += len(docs[-1])
                     if size < CHUNK and i < last:
                         continue
-                    got = list(index.find(docs))
+                    got = list(index.hits(docs))
                     if got:
-                        yield pa.RecordBatch.from_arrays([pa.array([ids[x[0]].as_py() for x in got], b.schema.field(0).type), pa.array([index.item[x[1]] for x in got], item_kind), pa.array([x[2] for x in got], pa.int64()), pa.array([x[3] for x in got], pa.int64())], ["doc_id", "item_id", "start", "edits"])
+                        yield pa.RecordBatch.from_arrays([pa.array([ids[x[0]].as_py() for x in got], b.schema.field(0).type), pa.array([x[1] for x in got], item_kind), pa.array([x[2] for x in got], pa.int64()), pa.array([x[3] for x in got], pa.int64())], ["doc_id", "item_id", "start", "edits"])
                     ids, docs, size = [], [], 0
 
         return run
@@ -234,6 +256,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, id_col: st
     for k in range(max(1, n)):
         held = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("item_id", "item_text"), F.lit(max(1, n))) == k).collect()]
         part = rows.mapInArrow(lean(search(held)), schema)
+        if n > 1:  # the driver lets go of a block before it takes the next
+            part = table(part, "found")
         out = part if out is None else out.unionByName(part)
     best = F.min(F.struct("edits", "start"))
     return out.groupBy("doc_id", "item_id").agg(F.count("*").alias("n_regions"), best.alias("b")).select("doc_id", "item_id", "n_regions", F.col("b.edits").alias("edits"), F.col("b.start").alias("start"))
