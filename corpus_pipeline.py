@@ -12,8 +12,8 @@ from skein.llm.common import read, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: A mean probability below this says that the text is in none of the learned languages.
 LEAST_SCORE = 0.35
-#: Ids to drop are broadcast up to this number (8 bytes each), beyond it they are joined by a shuffle.
-FEW_IDS = 2_000_000
+#: Ids to drop are broadcast up to this number (about 70 bytes each in an executor), more are joined by a shuffle.
+FEW_IDS = 400_000
 
 
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -48,7 +48,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and token_ids of what is left."""
-    return bpe_codec.encode(docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=True).drop("decoded")
+    return bpe_codec.encode(docs, tokenizer_path("byte_bpe_50k.json"), keep_ids=True, keep_decoded=False)
 
 
 STAGES = [("language ID", language_id), ("MinHash near-dedup", near_duplicates), ("suffix-array dedup", repeated_passages), ("benchmark decontamination", decontamination), ("BPE encoding and decoding", bpe)]

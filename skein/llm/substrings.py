@@ -41,15 +41,15 @@ SPAN = LENGTH - GRAM + 1  # grams of a string
 #: Each string has so many bytes before its anchor, or so many after it.
 SIDE = (LENGTH - GRAM + 1) // 2
 #: Bytes hashed together (a longer text is cut into overlapping pieces), and bytes whose runs are compared in a scan.
-CHUNK, WINDOW = 1 << 19, 1 << 23
+CHUNK, WINDOW = 1 << 18, 3 << 20
 #: Groups of sides, and text bytes for each of them where that gives more groups.
-BUCKETS, MEET = 128, 1 << 25
+BUCKETS, MEET = 128, 1 << 23
 #: Of a side that more runs of a window have, only two are sent to meet others. Counts from MANY on are not told apart.
 CROWD, MANY = 32, 255
 #: Documents with the same side that are dealt to one place.
 TOGETHER = 1000
 #: Bytes of runs given to one task at a time, of one anchor before it is split, and put in suffix order together.
-PART, HOT, ORDER = 1 << 21, 1 << 20, 1 << 15
+PART, HOT, ORDER = 1 << 20, 1 << 20, 1 << 15
 #: Ids up to this number are broadcast (about 70 bytes each in an executor, 28 MB in all), more are joined by a shuffle.
 FEW_IDS = 400_000
 _U = np.uint64

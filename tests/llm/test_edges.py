@@ -138,6 +138,8 @@ def test_licenses_and_benchmark(docs, benchmark):
     assert {(9, "MIT"), (-5, "MIT")} <= found and {d for d, _ in found} == {9, -5}
     held = {(r["doc_id"], r["item_id"]) for r in decontaminate.matches(docs, benchmark).collect()}
     assert held == {(9, 1), (-5, 1), *((d, None) for d in (1, 2, 9, None))}
+    short = docs.sparkSession.createDataFrame([(1, "Permission is"), (2, "ermission"), (3, "日本語"), (4, "A"), (5, "12  34")], "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"], r["edits"]) for r in decontaminate.matches(docs, short).collect()} == {(9, 1, 0), (-5, 1, 0), (12, 3, 0), (6, 4, 0), (9, 4, 0), (-5, 4, 0), (8, 5, 0)}
 
 
 def test_sharding_rebalance():
@@ -195,3 +197,14 @@ def test_substrings_whatever_the_hashes(spark):
     want = sorted(brute.repeats(rows))
     for bits, hot in ((6, substrings.HOT), (64, 1), (6, 1)):
         assert sorted(tuple(r) for r in substrings.dedup(df, hash_bits=bits, hot=hot).collect()) == want
+
+
+def test_neardup_many_short_texts_with_one_common_shingle():
+    """Sets of two, one member the same in all: they share buckets, but no two are near; and some short near copies."""
+    import numpy as np
+
+    n = 300_000
+    sets = [np.array([7, 100 + i], np.uint64) for i in range(n)]
+    sets += [np.array([*range(10_000_000, 10_000_020), 20_000_000 + i], np.uint64) for i in range(2000)]
+    found = neardup.connect(np.arange(len(sets)), np.arange(len(sets)), sets, 85)
+    assert len(found) == 1999 and min(min(x) for x in found) >= n
