@@ -36,9 +36,10 @@ def follow_redirects(hops: DataFrame, starts: DataFrame, most: int = 10) -> Data
 
 
 def retry_wait(status: Column, attempt: Column, retry_after: Column, now: Column, jitter: Column) -> Column:
-    """Milliseconds before the next attempt (numbered from 0), null where there is none."""
-    backoff = F.shiftleft(F.lit(1), 0) * F.pow(F.lit(2), attempt) * 1000 + jitter
-    again = F.when(status.isin(429, 503), F.coalesce(retry_after_seconds(retry_after, now) * 1000, backoff)).when(status >= 500, backoff)
+    """Milliseconds before the next attempt (numbered from 0), null where there is none. A null status stands for a
+    request that got no answer, which is made again like one with a server's error."""
+    backoff = F.pow(F.lit(2), attempt) * 1000 + jitter
+    again = F.when(status.isin(429, 503), F.coalesce(retry_after_seconds(retry_after, now) * 1000, backoff)).when(status.isNull() | (status >= 500), backoff)
     return F.when(attempt + 1 < ATTEMPTS, again).cast("long")
 
 

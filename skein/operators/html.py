@@ -7,6 +7,7 @@ content, script and style are raw text.
 
 from __future__ import annotations
 
+from collections import Counter
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -48,27 +49,38 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("html", {})
         self.open, self.found = [self.root], []
+        self.n_open: Counter[str] = Counter()  # by tag, so that nothing is looked for in a deep stack in vain
         self.feed(html)
         self.close()
 
     def _end(self, tags: set[str], walls: set[str]) -> None:
+        if not any(self.n_open[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             if self.open[k].tag in tags:
-                del self.open[k:]
+                self._shut(k)
                 return
             if self.open[k].tag in walls:
                 return
 
+    def _shut(self, k: int) -> None:
+        self.n_open.subtract(x.tag for x in self.open[k:])
+        del self.open[k:]
+
+    def parse_marked_section(self, i, report=1):
+        """A section mark of any name ends at the next >, as a comment that nobody closed does."""
+        return self.rawdata.find(">", i) + 1 or -1
+
     def handle_starttag(self, tag, attrs):
         if tag in ("html", "body", "head"):
             if tag == "html":
                 return
             if tag == "body":
-                del self.open[1:]
+                self._shut(1)
         if tag in ENDS_P:
             self._end({"p"}, WALLS)
         if tag in HEADINGS and self.open[-1].tag in HEADINGS:
-            self.open.pop()
+            self._shut(len(self.open) - 1)
         if tag in LIKE:
             self._end(LIKE[tag], WALLS - LIKE[tag])
         node = Node(tag, {k: v or "" for k, v in reversed(attrs)})
@@ -76,6 +88,7 @@ class Tree(HTMLParser):
         self.found.append(node)
         if tag not in VOID:
             self.open.append(node)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -124,7 +137,14 @@ def blocks(root: Node) -> list[tuple[str | None, str]]:
 
 
 def raw_text(node: Node) -> str:
-    return "".join(c if isinstance(c, str) else raw_text(c) for c in node.children)
+    out, todo = [], [node]
+    while todo:
+        x = todo.pop()
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            todo += reversed(x.children)
+    return "".join(out)
 
 
 def describe(found: list[Node], texts: list[str], least: int = 20, most: int = 247) -> str:

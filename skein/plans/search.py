@@ -77,8 +77,9 @@ def count(stored: DataFrame) -> DataFrame:
 
 
 def empty_index(spark, size: int = 384) -> DataFrame:
-    schema = "point_id string, source_url string, page_title string, description string, chunk_index long, chunk_heading string, chunk_content string, tags array<string>, categories array<string>, paid double, payload_score double, crawled_at long, page_version string, passage string, title_text string, body_text string"
-    return spark.createDataFrame([], schema)
+    """No chunks, with the columns of an index and vectors of size numbers."""
+    schema = "point_id string, source_url string, page_title string, description string, chunk_index long, chunk_heading string, chunk_content string, tags array<string>, categories array<string>, paid double, payload_score double, crawled_at long, page_version string, passage string, title_text string, body_text string, dense array<float>"
+    return spark.createDataFrame([], schema).withMetadata("dense", {"size": size})
 
 
 def ensure_table(spark, name: str = "web_pages") -> None:

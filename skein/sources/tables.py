@@ -23,13 +23,23 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), root) if x)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the session's checkpoint folder. In local mode
+    one of our own will do; a cluster without a shared folder is refused, as its executors couldn't read what others wrote."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    if not hasattr(spark, "_skein_scratch"):
+        spark._skein_scratch = tempfile.mkdtemp(prefix="skein-")
+    return spark._skein_scratch
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df written to the folder that spark.checkpoint.dir names (our own where it is unset, as in tests) and read back."""
+    """df written to the shared folder and read back."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = getattr(spark, "_skein_scratch", None) or tempfile.mkdtemp(prefix="skein-")
-        spark._skein_scratch = folder
+    folder = shared_dir(spark)
     path = f"{folder.rstrip('/')}/skein-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)

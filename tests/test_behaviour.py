@@ -354,3 +354,21 @@ def test_throttle_stream_equals_batch(spark, tmp_path):
     want = sorted((r["id"], r["start"]) for r in crawl.politeness(df).collect())
     assert sorted((r["id"], r["start"]) for r in spark.table("throttled").collect()) == want
     assert all(b - a >= 2 for o in "ab" for a, b in zip(*(lambda s: (s, s[1:]))(sorted(s for (i, s) in want if rows[i][0] == o))))
+
+
+def test_html_of_any_shape(spark):
+    """Unknown section marks, titles and bodies nested without end: a page gives its row, and others theirs."""
+    pages = [(1, "<p>a</p><![foo[x]]><p>b</p>"), (2, "<title>" + "<b>" * 5000 + "t</title><p>c</p>"), (3, "<div>" * 20000 + "<p>d</p>"), (4, "<p>e</p><![CDATA["), (5, None)]
+    got = {r["page_id"]: [b["text"] for b in r["blocks"]] for r in html.extract(spark.createDataFrame([(i, "http://a/", h) for i, h in pages], "page_id long, url string, html string")).collect()}
+    assert sorted(got) == [1, 2, 3, 4, 5] and got[1] == ["a", "b"] and "d" in got[3] and got[4] == ["e"] and got[5] == []
+
+
+def test_no_answer_is_tried_again(spark):
+    rows = spark.createDataFrame([(None, 0), (None, 1), (None, 2), (404, 0), (500, 0)], "status int, attempt int")
+    wait = crawl.retry_wait(F.col("status"), F.col("attempt"), F.lit(None).cast("string"), F.lit(0), F.lit(0))
+    assert [r[0] for r in rows.select(wait).collect()] == [1000, 2000, None, None, 1000]
+
+
+def test_empty_index_has_vectors(spark):
+    empty = plans.empty_index(spark)
+    assert dict(empty.dtypes)["dense"] == "array<float>" and plans.search(empty, "word").results.count() == 0
