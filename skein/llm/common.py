@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import ctypes
 import os
-import tempfile
 import uuid
 from functools import wraps
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from skein.sources.tables import shared_dir
+
 #: Where the package lies; Python workers need it on their path.
 ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -22,16 +23,6 @@ def reach_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (env.get("PYTHONPATH"), ROOT) if x)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own where it is unset (tests)."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    if given:
-        return given.rstrip("/")
-    if not hasattr(spark, "_skein_dir"):
-        spark._skein_dir = tempfile.mkdtemp(prefix="skein-")
-    return spark._skein_dir
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder, deleted when the driver's JVM ends."""
     path = f"{shared_dir(spark)}/skein-{name}-{uuid.uuid4().hex}"

@@ -1,8 +1,10 @@
 """Sharding through fixed virtual slots.
 
-Each record hashes into one of ``N_SLOTS`` virtual slots, for good. Bytes are summed by slot, and a small
-versioned map says which shard owns a slot. Rebalancing edits the map, so that only the slots it names move.
-The map has as many entries as there are slots, whatever the data's size; no data row reaches the driver.
+Each record hashes into one of ``N_SLOTS`` virtual slots by its text, so that equal texts keep together. Only a group
+of equal texts that is larger than a shard can take up beside others is dealt by doc_id too; the map names these few
+groups. Bytes are summed by slot, and a small versioned map says which shard owns a slot. Rebalancing edits the map, so
+that only the slots it names move. The map has as many entries as there are slots, whatever the data's size; no data
+row reaches the driver.
 """
 
 from __future__ import annotations
@@ -17,16 +19,20 @@ from pyspark.sql import functions as F
 from skein.llm.common import read, scratch, table
 
 N_SLOTS = 4096
+#: A group of equal texts with more than this share of a shard's bytes is split.
+SPLIT_SHARE = 0.5
 
 
 @dataclass
 class SlotMap:
-    """Owner of every slot at a version; ``moved`` has the slots that the last edit gave to another shard."""
+    """Owner of every slot at a version; ``moved`` has the slots that the last edit gave to another shard, ``split`` the
+    hashes of texts whose copies are dealt by doc_id (fixed with the first version)."""
 
     n_shards: int
     owner: list[int]
     version: int = 1
     moved: list[int] = field(default_factory=list)
+    split: list[int] = field(default_factory=list)
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__)
@@ -87,13 +93,26 @@ def rebalance(m: SlotMap, slot_bytes: dict[int, int], n_shards: int | None = Non
         held[top].remove(pick)
         load[top] -= pick[0]
         give(*pick, low)
-    return SlotMap(n, owner, m.version + 1, sorted(moved))
+    return SlotMap(n, owner, m.version + 1, sorted(moved), list(m.split))
 
 
-def with_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """Columns id, size (UTF-8 bytes plus 1), text_crc32 and vslot; the slot depends on the row's id and text alone."""
-    raw = F.coalesce(F.col(text_col), F.lit(""))
-    return df.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw.cast("binary")).alias("text_crc32")).withColumn("vslot", F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(n_slots)).cast("int"))
+def sized(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Columns doc_id, size (UTF-8 bytes plus 1), text_crc32 and text_hash, which equal texts have in common."""
+    raw = F.coalesce(F.col(text_col), F.lit("")).cast("binary")
+    return df.select(F.col(id_col).alias("doc_id"), (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), F.xxhash64(raw).alias("text_hash"))
+
+
+def crowded(rows: DataFrame, n_shards: int) -> list[int]:
+    """Hashes of the texts whose copies have more than SPLIT_SHARE of a shard's bytes: at most n_shards / SPLIT_SHARE."""
+    total = rows.agg(F.sum("size")).collect()[0][0] or 0
+    groups = rows.groupBy("text_hash").agg(F.sum("size").alias("n"), F.count("*").alias("copies"))
+    return sorted(r[0] for r in groups.filter((F.col("n") > SPLIT_SHARE * total / n_shards) & (F.col("copies") > 1)).select("text_hash").collect())
+
+
+def with_slots(rows: DataFrame, split: list[int], n_slots: int = N_SLOTS) -> DataFrame:
+    """The sized rows with their vslot, which depends on a row's text, and on doc_id where its copies are split."""
+    alone = F.col("text_hash").isin(*split) if split else F.lit(False)
+    return rows.withColumn("vslot", F.pmod(F.xxhash64("text_hash", F.when(alone, F.col("doc_id"))), F.lit(n_slots)).cast("int"))
 
 
 def slot_totals(slotted: DataFrame) -> tuple[dict[int, int], dict[int, int]]:
@@ -113,15 +132,20 @@ def assign(df: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: S
     slot is the row's place in its shard, gapless from 0: the rows before the shard's earlier virtual slots plus the
     row's rank in its own, so that no task ever sorts a whole shard. A given slot_map is used as it is; else a map is planned, stored
     under map_path (a new folder of the shared one if none is named) as its version 1, and used as read back from there.
+    Equal texts share a shard, but for those that the map splits.
     Null text counts as empty (size 1); null ids, repeated rows and ties get places like any other row (among equal
     rows in no set order); an empty table gives an empty result; further columns are ignored.
     """
-    rows = table(with_slots(df, id_col, text_col, n_slots), "slots")
-    size, count = slot_totals(rows)
+    rows = table(sized(df, id_col, text_col), "sizes")
     m = slot_map
+    split = crowded(rows, n_shards) if m is None else m.split
+    rows = with_slots(rows, split, n_slots)
+    size, count = slot_totals(rows)
     if m is None:
         path = map_path or scratch(df.sparkSession, "slot_map")
-        save_map(df.sparkSession, plan_map(size, n_shards, n_slots), path)
+        planned = plan_map(size, n_shards, n_slots)
+        planned.split = split
+        save_map(df.sparkSession, planned, path)
         m = load_map(df.sparkSession, path)
     first, base = [0] * n_slots, [0] * m.n_shards
     for s in range(n_slots):

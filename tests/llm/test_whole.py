@@ -51,3 +51,25 @@ def test_warc_row_for_each_page(spark, tmp_path):
     assert all(r["ok"] for r in got)
     assert sorted((str(r["page_id"]), r["payload_bytes"]) for r in got) == sorted((str(p), len(h or "")) for p, _, h in rows)
     assert [r["refers_to"] for r in got if r["page_id"] == 7] == [6, 6]
+
+
+def test_equal_texts_share_a_shard_and_growth_moves_named_slots(spark, tmp_path):
+    rows = [(i, f"text {i % 150} " * 9) for i in range(600)] + [(1000 + i, "one very common text " * 40) for i in range(400)] + [(5000, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = str(tmp_path / "map")
+    got = sharding.assign(df, map_path=path, n_slots=512).collect()
+    text, shard = dict(rows), {r["doc_id"]: r["shard"] for r in got}
+    assert len(got) == len(rows)
+    where, load = {}, {}
+    for r in got:
+        where.setdefault(text[r["doc_id"]] or "", set()).add(r["shard"])
+        load[r["shard"]] = load.get(r["shard"], 0) + r["size"]
+    assert [len(v) for k, v in where.items() if k.startswith("text") or not k] == [1] * 151
+    assert len(where["one very common text " * 40]) == 8 and max(load.values()) - min(load.values()) < 0.05 * max(load.values())
+    m = sharding.load_map(spark, path)
+    assert len(m.split) == 1
+    size, _ = sharding.slot_totals(sharding.with_slots(sharding.sized(df), m.split, 512))
+    sharding.save_map(spark, sharding.rebalance(m, size, 9), path)
+    grown = sharding.load_map(spark, path)
+    moved = {r["vslot"] for r in sharding.assign(df, slot_map=grown, n_slots=512).collect() if r["shard"] != shard[r["doc_id"]]}
+    assert grown.version == 2 and moved and moved <= set(grown.moved) and 8 in {grown.owner[s] for s in grown.moved}
