@@ -49,7 +49,9 @@ def base_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     n = F.size("words")
     window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
     d = d.select("*", n.cast("long").alias("n_words"), (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.slice(F.transform("words", window), F.lit(1), F.greatest(n - 2, F.lit(0))).alias("windows")).drop("lines")
-    d = d.withColumn("ordered", F.sort_array("windows"))
+    # most texts repeat no window, which a look at the distinct ones tells sooner than sorting
+    none = F.size(F.array_distinct("windows")) == F.size("windows")
+    d = d.withColumn("ordered", F.when(none, F.array().cast("array<bigint>")).otherwise(F.sort_array("windows")))
     d = d.withColumn("often", F.array_distinct(F.filter("ordered", lambda x, i: (i > 0) & (F.get("ordered", i - 1) == x)))).drop("ordered")
     # places of windows that are found twice: by a look into a short list, or else in the order of hashes
     short = F.filter(F.transform("windows", lambda h, i: F.when(F.array_contains("often", h), i).otherwise(-1)), lambda i: i >= 0)
