@@ -19,8 +19,8 @@ COMMON = 24
 CLASSES = {"upper": r"[^\p{Lu}]+", "lower": r"[^\p{Ll}]+", "digit": r"[^\p{Nd}]+", "punct": r"[^.,;:!?'\"()\[\]-]+", "symbol": r"[^#*$%&|<>]+"}
 #: Up to so many repeated windows are looked for one by one.
 SHORT = 64
-#: References of fewer words than this judge nothing; broadcast up to so many languages, joined by a shuffle beyond.
-LEAST_REFERENCE, FEW = 1000, 1000
+#: References are broadcast up to so many languages, joined by a shuffle beyond.
+FEW = 1000
 
 
 def js_distance(p: Column, q: Column) -> Column:
@@ -95,7 +95,7 @@ def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, leas
     chars = F.array(*[F.col(c).cast("double") for c in CLASSES], spaces.cast("double"), rest.cast("double"))
     d = table(d.select("doc_id", "lang", "n_chars", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", chars.alias("chars"), hist.alias("hist")), "features")
     total = lambda c, n: F.array(*[F.sum(F.get(c, F.lit(i))) for i in range(n)])
-    refs = d.groupBy("lang").agg(F.sum("n_words").alias("ref_words"), total("chars", len(CLASSES) + 2).alias("ref_chars"), total("hist", COMMON + 1).alias("ref_hist")).filter(F.col("ref_words") >= LEAST_REFERENCE).drop("ref_words")
+    refs = d.groupBy("lang").agg(total("chars", len(CLASSES) + 2).alias("ref_chars"), total("hist", COMMON + 1).alias("ref_hist"))
     none = F.array(*[F.lit(0.0)] * COMMON, F.lit(1.0))
     refs = refs.withColumn("most", most_share * js_distance(none, F.col("ref_hist")))
     d = d.join(near(refs), "lang", "left").withColumn("char_distance", js_distance(F.col("chars"), F.col("ref_chars"))).withColumn("word_distance", js_distance(F.col("hist"), F.col("ref_hist")))
@@ -105,4 +105,6 @@ def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, leas
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(read(spark, sf_dir, "documents"))
+    """judge over documents, with distances to six places."""
+    out = judge(read(spark, sf_dir, "documents"))
+    return out.withColumns({c: F.round(c, 6) for c in ("char_distance", "word_distance")})

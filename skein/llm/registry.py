@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from skein.llm import bpe_codec, decontaminate, lang_id, licenses, neardup, quality, sharding, substrings, token_counts, warc
+from skein.llm import bpe_codec, decontaminate, lang_id, licenses, neardup, oracles, quality, sharding, substrings, token_counts, warc
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -16,4 +16,4 @@ QUERIES = {
     "op9_minhash_neardup": neardup.op9_minhash_neardup,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = dict(oracles.ORACLES)
