@@ -21,6 +21,11 @@ from skein.llm.common import read, scratch, table
 N_SLOTS = 4096
 #: A group of equal texts with more than this share of a shard's bytes is split.
 SPLIT_SHARE = 0.5
+#: Rows that are numbered together; a slot with more is numbered in several places, but for very large tables in 64 at most
+#: where slots are equal, so that places stay few.
+PLACE_ROWS, PLACES = 500, 64
+#: Places up to this number are broadcast (about 70 bytes each), more are joined by a shuffle.
+FEW = 400_000
 
 
 @dataclass
@@ -129,8 +134,8 @@ def _lookup(values: list[int], key: str, kind: str):
 def assign(df: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: SlotMap | None = None, id_col: str = "doc_id", text_col: str = "text", map_path: str | None = None) -> DataFrame:
     """Deal rows to shards of near equal bytes. Returns doc_id, size, text_crc32, law, shard, slot, grown_shard, vslot.
 
-    slot is the row's place in its shard, gapless from 0: the rows before the shard's earlier virtual slots plus the
-    row's rank in its own, so that no task ever sorts a whole shard. A given slot_map is used as it is; else a map is planned, stored
+    slot is the row's number in its shard, gapless from 0: the rows in the shard's earlier virtual slots and in earlier
+    places of its own slot, plus the row's rank in its place, so that no task ever sorts a whole shard or a large slot. A given slot_map is used as it is; else a map is planned, stored
     under map_path (a new folder of the shared one if none is named) as its version 1, and used as read back from there.
     Equal texts share a shard, but for those that the map splits.
     Null text counts as empty (size 1); null ids, repeated rows and ties get places like any other row (among equal
@@ -151,7 +156,13 @@ def assign(df: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, slot_map: S
     for s in range(n_slots):
         first[s] = base[m.owner[s]]
         base[m.owner[s]] += count.get(s, 0)
-    place = F.row_number().over(Window.partitionBy("vslot").orderBy("doc_id", "text_crc32")) - 1
+    most = max(PLACE_ROWS, sum(count.values()) // (PLACES * n_slots))
+    places = [max(1, -(-count.get(s, 0) // most)) for s in range(n_slots)]
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "text_crc32", F.lit("place")), _lookup(places, "vslot", "int")))
+    before = F.sum("n").over(Window.partitionBy("vslot").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = rows.groupBy("vslot", "part").agg(F.count("*").alias("n")).select("vslot", "part", F.coalesce(before, F.lit(0)).alias("before"))
+    rows = rows.join(F.broadcast(offsets) if sum(places) <= FEW else offsets, ["vslot", "part"])
+    place = F.col("before") + F.row_number().over(Window.partitionBy("vslot", "part").orderBy("doc_id", "text_crc32")) - 1
     return rows.withColumn("place", place).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), _lookup(m.owner, "vslot", "int").alias("shard"), (_lookup(first, "vslot", "bigint") + F.col("place")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "vslot")
 
 
