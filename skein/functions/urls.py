@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 FILE_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "webp", "avif", "svg", "ico", "pdf", "zip", "tar", "gz", "7z", "mp3", "wav", "ogg", "mp4", "webm", "mov", "avi", "doc", "docx", "xls", "xlsx", "ppt", "pptx")
 TRAP_SEGMENTS = ("login", "logout", "signin", "signout", "sign-in", "sign-out", "sign_in", "sign_out", "signup", "sign-up", "sign_up", "register", "search", "calendar")
 
-PATTERN = r"^\s*([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#@]*)@)?(\[[^\]/?#]*\]|[^/?#@:]*)(?::([0-9]*))?([^?#]*)"
+#: Scheme, user, host, port (up to 65535, without leading zeros) and path of a tidy URL.
+PORT = "[0-9]{1,4}|[1-5][0-9]{4}|6[0-4][0-9]{3}|65[0-4][0-9]{2}|655[0-2][0-9]|6553[0-5]"
+PATTERN = r"^([a-zA-Z][a-zA-Z0-9+.-]*)://(?:([^/?#]*)@)?(\[[0-9a-fA-F:.]+\]|[^\x00-\x20/?#@:<>\[\]^|%\\\x7F]*)(?::(?:0*(?=[0-9]))?(" + PORT + r")?)?((?:/[^?#]*)?)(?=[?#]|$)"
+#: URLs of these schemes have a host, whatever slashes come before it, and take backslashes for slashes.
+WITH_HOST = "(?i)^(https?|wss?|ftp):"
 DEFAULT_PORT = {"http": "80", "https": "443", "ws": "80", "wss": "443", "ftp": "21"}
 
 
@@ -18,22 +22,45 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _group(url: Column, n: int) -> Column:
-    return F.regexp_extract(url, PATTERN, n)
+def tidy(url: Column) -> Column:
+    """url without blanks around it and line breaks in it; if its scheme has a host, with // before that and no backslash up to the query."""
+    plain = F.regexp_replace(url, r"^[\x00-\x20]+|[\x00-\x20]+$|[\t\n\r]", "")
+    slashes = F.regexp_replace(plain, r"\G([^?#\\]*)\\", "$1/")
+    hosted = F.regexp_replace(slashes, WITH_HOST + "/*", "$1://")
+    odd = r"^[\x00-\x20]|[\x00-\x20]$|[\t\n\r\\]|" + WITH_HOST + "(?!//[^/])"
+    return F.when(url.rlike(odd), F.when(plain.rlike(WITH_HOST), hosted).otherwise(plain)).otherwise(url)
+
+
+def _group(tidy_url: Column, n: int) -> Column:
+    return F.regexp_extract(tidy_url, PATTERN, n)
+
+
+def _scheme(u: Column) -> Column:
+    return F.nullif(F.lower(_group(u, 1)), F.lit(""))
+
+
+def _host(u: Column) -> Column:
+    return F.nullif(F.lower(_group(u, 3)), F.lit(""))
+
+
+def _port(u: Column) -> Column:
+    given, usual = F.nullif(_group(u, 4), F.lit("")), F.create_map(*[F.lit(x) for kv in DEFAULT_PORT.items() for x in kv])
+    return F.when(given != F.coalesce(F.try_element_at(usual, _scheme(u)), F.lit("")), given)
 
 
 def scheme(url: Column) -> Column:
-    return F.nullif(F.lower(_group(url, 1)), F.lit(""))
+    return let(tidy(url), _scheme)
 
 
 def host(url: Column) -> Column:
-    return F.nullif(F.lower(_group(url, 3)), F.lit(""))
+    """The host in lower case, names beyond ASCII as they are written; null if it has a character that no host may have,
+    a percent code included, or if the port is no number up to 65535."""
+    return let(tidy(url), _host)
 
 
 def port(url: Column) -> Column:
     """The port as text, null if none is given or if it is the scheme's default."""
-    given, usual = F.nullif(_group(url, 4), F.lit("")), F.create_map(*[F.lit(x) for kv in DEFAULT_PORT.items() for x in kv])
-    return F.when(given != F.coalesce(F.try_element_at(usual, scheme(url)), F.lit("")), given)
+    return let(tidy(url), _port)
 
 
 def parses(url: Column) -> Column:
@@ -53,33 +80,37 @@ def without_dots(path: Column) -> Column:
 
     def step(kept: Column, part: Column) -> Column:
         parent = F.when(F.size(kept) > 1, F.slice(kept, 1, F.size(kept) - 1)).otherwise(kept)
-        return F.when(part == "..", parent).when(part == ".", kept).otherwise(F.concat(kept, F.array(part)))
+        return F.when(part.rlike(r"(?i)^(?:\.|%2e){2}$"), parent).when(part.rlike(r"(?i)^(?:\.|%2e)$"), kept).otherwise(F.concat(kept, F.array(part)))
 
     done = F.array_join(F.aggregate(F.split(path, "/"), start, step), "/")
-    done = F.when(path.rlike(r"/\.{1,2}$"), F.regexp_replace(done, "/?$", "/")).otherwise(done)
-    return F.when(path.rlike(r"/\.{1,2}(/|$)"), done).otherwise(path)
+    done = F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}$"), F.regexp_replace(done, "/?$", "/")).otherwise(done)
+    return F.when(path.rlike(r"(?i)/(?:\.|%2e){1,2}(/|$)"), done).otherwise(path)
 
 
-def path(url: Column) -> Column:
-    """The path, / if it is empty."""
-    plain = let(_group(url, 5), lambda p: F.when(p == "", F.lit("/")).otherwise(without_dots(p)))
+def _path(u: Column) -> Column:
+    plain = let(_group(u, 5), lambda p: F.when(p == "", F.lit("/")).otherwise(without_dots(p)))
     return let(plain, percent_encode)
 
 
+def path(url: Column) -> Column:
+    """The path, / if it is empty; . and .. are resolved, written as %2e too."""
+    return let(tidy(url), _path)
+
+
 def normalize(url: Column) -> Column:
     """scheme://[user@]host[:port]/path of an http(s) URL, without query, fragment and default port; null otherwise."""
-    return let(url, _normal)
+    return let(tidy(url), _normal)
 
 
-def _normal(url: Column) -> Column:
-    user = F.nullif(_group(url, 2), F.lit(""))
-    out = F.concat(scheme(url), F.lit("://"), F.coalesce(F.concat(user, F.lit("@")), F.lit("")), host(url), F.coalesce(F.concat(F.lit(":"), port(url)), F.lit("")), path(url))
-    return F.when(scheme(url).isin("http", "https") & host(url).isNotNull(), out)
+def _normal(u: Column) -> Column:
+    user = F.replace(F.nullif(_group(u, 2), F.lit("")), F.lit("@"), F.lit("%40"))
+    out = F.concat(_scheme(u), F.lit("://"), F.coalesce(F.concat(user, F.lit("@")), F.lit("")), _host(u), F.coalesce(F.concat(F.lit(":"), _port(u)), F.lit("")), _path(u))
+    return F.when(_scheme(u).isin("http", "https") & _host(u).isNotNull(), out)
 
 
 def origin(url: Column) -> Column:
     """scheme://host[:port], the port only where it is not the default."""
-    return F.concat(scheme(url), F.lit("://"), host(url), F.coalesce(F.concat(F.lit(":"), port(url)), F.lit("")))
+    return let(tidy(url), lambda u: F.concat(_scheme(u), F.lit("://"), _host(u), F.coalesce(F.concat(F.lit(":"), _port(u)), F.lit(""))))
 
 
 def same_origin(a: Column, b: Column) -> Column:
@@ -115,7 +146,7 @@ def is_crawl_trap(url: Column) -> Column:
 
 def resolve(base: Column, href: Column) -> Column:
     """href as an absolute URL, seen from base."""
-    h = F.btrim(href)
+    h = F.regexp_replace(F.regexp_replace(F.btrim(href), r"[\t\n\r]", ""), r"\G([^?#\\]*)\\", "$1/")
     folder = F.regexp_replace(path(base), r"[^/]*$", "")
     whole = F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h).when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h)).when(h.startswith("/"), F.concat(origin(base), h))
     return whole.when((h == "") | h.rlike("^[?#]"), F.concat(origin(base), path(base), h)).otherwise(F.concat(origin(base), folder, h))

@@ -36,7 +36,7 @@ def sitemaps(robots: DataFrame) -> DataFrame:
 
 
 def rules(robots: DataFrame, agent: str) -> DataFrame:
-    """origin, allow, pattern and regex of the rules for agent: those of its own groups, else those of *."""
+    """origin, allow and pattern of the rules for agent: those of its own groups, else those of *."""
     rows = statements(robots).filter(F.col("key").isin("user-agent", "allow", "disallow")).withColumn("is_agent", F.col("key") == "user-agent")
     line = Window.partitionBy("origin").orderBy("pos")
     new = F.col("is_agent") & ~F.coalesce(F.lag("is_agent").over(line), F.lit(False))
@@ -46,16 +46,32 @@ def rules(robots: DataFrame, agent: str) -> DataFrame:
     best = who.withColumn("has_own", F.max("own").over(Window.partitionBy("origin")))
     mine = best.filter(((F.col("has_own") == 1) & (F.col("own") == 1)) | ((F.col("has_own") == 0) & (F.col("any") == 1))).select("origin", "grp")
     kept = rows.filter(~F.col("is_agent") & (F.col("value") != "")).join(mine, ["origin", "grp"])
-    literal = F.regexp_replace("value", r"([.\\+?()\[\]{}|^])", r"\\$1")
-    regex = F.concat(F.lit("^"), F.regexp_replace(F.regexp_replace(literal, r"\*", ".*"), r"\$(?!$)", r"\\$"))
-    return kept.select("origin", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"), regex.alias("regex"))
+    return kept.select("origin", (F.col("key") == "allow").alias("allow"), F.col("value").alias("pattern"))
+
+
+def matches(path: Column, pattern: Column) -> Column:
+    """Whether pattern matches a start of path: * stands for anything, $ at the end for the end. Parts between stars are
+    looked for from left to right, each where it comes first, so that a pattern of many stars costs no more than its length."""
+    anchored = pattern.endswith("$")
+    parts = F.split(F.when(anchored, F.regexp_replace(pattern, r"\$$", "")).otherwise(pattern), r"\*", -1)
+
+    def after(at: Column, part: Column) -> Column:
+        found = F.call_function("locate", part, path, at)
+        return F.when(at == 0, F.lit(0)).when(part == "", at).when(found > 0, found + F.length(part)).otherwise(0)
+
+    first, n = F.get(parts, F.lit(0)), F.size(parts)
+    start = F.when(path.startswith(first), F.length(first) + 1).otherwise(0)
+    middle = F.aggregate(F.slice(parts, 2, F.when(anchored, F.greatest(n - 2, F.lit(0))).otherwise(n)), start, after)
+    last = F.element_at(parts, -1)
+    ends = F.when(n == 1, path == first).otherwise((middle > 0) & path.endswith(last) & (F.length(path) - F.length(last) + 1 >= middle))
+    return F.when(anchored, ends).otherwise(middle > 0)
 
 
 def allowed(candidates: DataFrame, rule_rows: DataFrame, url_col: str = "url") -> DataFrame:
     """candidates with allowed: the longest rule that matches path and query decides, allow wins ties."""
     rows = candidates.withColumn("_origin", urls.origin(F.col(url_col))).withColumn("_path", F.regexp_replace(F.regexp_replace(url_col, "^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", ""), "#.*$", ""))
     rows = rows.withColumn("_path", F.when(F.col("_path").startswith("/"), F.col("_path")).otherwise(F.concat(F.lit("/"), "_path")))
-    r = rule_rows.groupBy("origin").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", "regex")).alias("_rules"))
+    r = rule_rows.groupBy("origin").agg(F.collect_list(F.struct(F.length("pattern").alias("n"), "allow", "pattern")).alias("_rules"))
     rows = rows.join(r, rows["_origin"] == r["origin"], "left").drop("origin")
-    hit = F.array_max(F.transform(F.filter("_rules", lambda x: F.rlike(F.col("_path"), x["regex"])), lambda x: F.struct(x["n"], x["allow"])))
+    hit = F.array_max(F.transform(F.filter("_rules", lambda x: matches(F.col("_path"), x["pattern"])), lambda x: F.struct(x["n"], x["allow"])))
     return rows.withColumn("allowed", F.coalesce(hit["allow"], F.lit(True))).drop("_rules", "_origin", "_path")

@@ -37,6 +37,22 @@ def test_normalize(spark):
     assert column(spark, given, urls.normalize) == ["https://example.com/a", "http://example.com/", "https://u@h.example:8443/b", None, None, "https://e.example/b/c", "https://e.example/a%20b/%C3%BC", None]
 
 
+def test_normalize_odd_forms(spark):
+    cases = {
+        "https://exa mple.com/x": None, "https://a<b/": None, "https://a%41.example/": None, "https://e.example:99999/": None, "https://e.example:x/": None,
+        "http:/example.com/x": "http://example.com/x", "https:example.com": "https://example.com/", "HTTPS:\\\\Example.com": "https://example.com/", "http://example.com\\a\\b?x=\\y": "http://example.com/a/b",
+        "https://b\u00fccher.example/\u00fc": "https://b\u00fccher.example/%C3%BC", "https://e.example/a/%2e%2E/b": "https://e.example/b", "  https://e.example/a/. ": "https://e.example/a/", "ht\ntp://e.example/\ta": "http://e.example/a",
+        "https://e.example:0443/a": "https://e.example/a", "https://e.example:/x": "https://e.example/x", "https://e.example:0/x": "https://e.example:0/x", "https://[::1]:8080/": "https://[::1]:8080/", "https://a:b@c@e.example/": "https://a:b%40c@e.example/",
+    }
+    assert column(spark, list(cases), urls.normalize) == list(cases.values())
+
+
+def test_robots_patterns(spark):
+    cases = [("/a/b", "/a", True), ("/a/b", "/b", False), ("/x/a.pdf", "/*.pdf$", True), ("/x/a.pdfs", "/*.pdf$", False), ("/ab", "/a$b", False), ("/a$b", "/a$b", True), ("/ab", "/ab*b$", False), ("/abb", "/ab*b$", True), ("/", "/$", True), ("/a", "/$", False), ("/a+b", "/*+", True), ("/" + "a" * 5000, "/" + "*a" * 200 + "b", False)]
+    rows = spark.createDataFrame(cases, "path string, pattern string, want boolean")
+    assert [r["want"] for r in rows.filter(robots.matches(F.col("path"), F.col("pattern")) != F.col("want")).collect()] == []
+
+
 def test_depth_and_root(spark):
     given = ["https://example.com", "https://example.com/", "https://example.com/page", "https://example.com/a/b", "https://example.com/a/b/c"]
     assert column(spark, given, urls.path_depth) == [0, 0, 1, 2, 3]
