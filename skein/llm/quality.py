@@ -26,16 +26,16 @@ FEW = 1000
 def js_distance(p: Column, q: Column) -> Column:
     """Jensen-Shannon distance of two arrays of counts of equal size; null if either is empty of counts."""
     total = lambda x: F.aggregate(x, F.lit(0.0), lambda a, y: a + y)
-    a, b = total(p), total(q)
+    # the total is a variable of the outer function, or it would be summed anew for each element
+    shares = lambda x: F.get(F.transform(F.array(total(x)), lambda t: F.transform(x, lambda y: y / t)), F.lit(0))
 
-    def part(x: Column, y: Column) -> Column:
-        u, v = x / a, y / b
+    def part(u: Column, v: Column) -> Column:
         m = (u + v) / 2
         one = lambda z: F.when(z > 0, z * F.log2(z / m)).otherwise(0.0)
         return (one(u) + one(v)) / 2
 
-    d = F.aggregate(F.zip_with(p, q, part), F.lit(0.0), lambda s, x: s + x)
-    return F.when((a > 0) & (b > 0), F.sqrt(F.greatest(d, F.lit(0.0))))
+    d = F.aggregate(F.zip_with(shares(p), shares(q), part), F.lit(0.0), lambda s, x: s + x)
+    return F.when((total(p) > 0) & (total(q) > 0), F.sqrt(F.greatest(d, F.lit(0.0))))
 
 
 def base_features(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
