@@ -84,10 +84,13 @@ def judge(df: DataFrame, most_chars: float = 0.25, most_words: float = 0.5, leas
     plain = F.btrim(F.coalesce(F.col(text_col), F.lit("")), F.lit(SPACE))
     marks = table(common_words(df.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), plain.alias("b")).filter("b <> ''").select("lang", F.split("b", GAP).alias("words"))), "marks")
     few = marks.count() <= FEW
+    marks = marks.withColumn("longest", F.array_max(F.transform(F.map_keys("marks"), lambda w: F.octet_length(w))))
     near = F.broadcast if few else (lambda x: x)
     d = base_features(df, id_col, text_col, lang_col).join(near(marks), "lang", "left")
-    marked = F.array_join(F.transform("words", lambda w: F.coalesce(F.try_element_at("marks", w), F.lit(""))), "")
-    d = d.withColumn("marked", F.when(F.col("marks").isNull(), F.lit("")).otherwise(marked)).drop("words", "marks")
+    # a word's length tells of most words that they aren't common, which costs less than a look into the map
+    able = F.filter("words", lambda w: F.octet_length(w) <= F.col("longest"))
+    marked = F.array_join(F.transform(able, lambda w: F.coalesce(F.try_element_at("marks", w), F.lit(""))), "")
+    d = d.withColumn("marked", F.when(F.col("marks").isNull(), F.lit("")).otherwise(marked)).drop("words", "marks", "longest")
     known = F.length("marked")
     hist = F.array(*[(known - F.length(F.replace("marked", F.lit(chr(97 + i)), F.lit("")))).cast("double") for i in range(COMMON)], (F.col("n_words") - known).cast("double"))
     spaces = F.col("n_chars") - F.col("word_chars")
