@@ -1,7 +1,8 @@
 """Candidate retrieval: BM25, dense similarity, and weighted reciprocal rank fusion.
 
-A request's terms are few, so each row's term counts are made where the row is read: no postings are shuffled. Batches
-of requests go to the executors as a block and give a few candidates a row batch.
+A single request over texts counts its few terms where a row is read: no postings are shuffled. Where requests come
+again, postings are stored once and a request reads those of its terms. Batches of requests go to the executors as a
+block and give a few candidates a row batch.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
@@ -81,6 +82,41 @@ def bm25(df: DataFrame, id_col: str, text_col: str, query: str, average: float |
     return found.select(id_col, F.round(reduce(add, map(part, range(len(terms)))), DIGITS).alias("score"))
 
 
+def store_postings(df: DataFrame, id_col: str, text_col: str, path: str, parts: int | None = None) -> None:
+    """Write what bm25_stored reads: path/postings (term, id, tf, dl), path/terms (term, df), path/totals (n, words).
+
+    Postings lie in order of term and id: a request reads the row groups of its terms alone, and a term of many texts is
+    spread over several files. A text's counts are made in its row. Null text has no terms, but counts in n. Tables are
+    replaced if they are there; parts is the number of files, else that of shuffle partitions.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(id_col).alias("id"), F.sort_array(text.tokens(F.col(text_col))).alias("tokens")).withColumn("dl", F.size("tokens"))
+    rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("words")).write.mode("overwrite").parquet(f"{path}/totals")
+    starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("tokens", i - 1) != F.get("tokens", i)))
+    rows = rows.withColumn("starts", F.when(F.col("dl") > 0, starts))
+    count = lambda p, k: F.struct(F.get("tokens", p).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("dl")) - p).alias("tf"))
+    each = rows.select("id", "dl", F.explode(F.transform("starts", count)).alias("c")).select("c.term", "id", "c.tf", "dl")
+    ordered = each.repartitionByRange(*([parts] if parts else []), "term", "id").sortWithinPartitions("term", "id")
+    ordered.write.mode("overwrite").parquet(f"{path}/postings")
+    terms = spark.read.schema(each.schema).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
+    terms.repartitionByRange(*([parts] if parts else []), "term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/terms")
+
+
+def bm25_stored(spark: SparkSession, path: str, query: str, id_col: str = "id", average: float | None = AVERAGE_LENGTH) -> DataFrame:
+    """What bm25 gives over the texts that store_postings was given, from the postings. Of rows that share an id the
+    scores are added up."""
+    terms = query_terms(query)
+    asked = F.col("term").isin(terms) if terms else F.lit(False)
+    known = spark.read.parquet(f"{path}/terms").filter(asked)  # a row for each term of the request at most
+    totals = spark.read.parquet(f"{path}/totals")
+    found = spark.read.parquet(f"{path}/postings").filter(asked).join(F.broadcast(known), "term").join(F.broadcast(totals), how="cross")
+    base = F.lit(average) if average else F.col("words") / F.col("n")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("tf").cast("double")
+    part = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / base))
+    return found.groupBy(F.col("id").alias(id_col)).agg(F.round(F.sum(part), DIGITS).alias("score"))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 

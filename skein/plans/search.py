@@ -38,15 +38,17 @@ class Result:
     panel: DataFrame
 
 
-def search(stored: DataFrame, query: str, limit: int = 10, offset: int = 0, domain_rank: DataFrame | None = None, embedder=retrieval.hash_embedding) -> Result:
+def search(stored: DataFrame, query: str, limit: int = 10, offset: int = 0, domain_rank: DataFrame | None = None, embedder=retrieval.hash_embedding, postings: str | None = None) -> Result:
     """A page of results over points (point_id, dense, title_text, body_text, source_url, page_title, ...). Candidates
-    are at most 1000, so what follows retrieval works on a few rows."""
+    are at most 1000, so what follows retrieval works on a few rows. With postings, a folder that store_postings has
+    written for these points, words are looked up there and no text is split."""
     p = prepare(query, limit, offset)
     k = max(p.candidates, 1)
+    words = lambda field: retrieval.bm25_stored(stored.sparkSession, f"{postings}/{field}", p.query, "point_id") if postings else retrieval.bm25(stored, "point_id", f"{field}_text", p.query)
     lists = {
         "dense": retrieval.top(retrieval.dense(stored, "point_id", "dense", embedder("query: " + p.query)), "point_id", k),
-        "title": retrieval.top(retrieval.bm25(stored, "point_id", "title_text", p.query), "point_id", k),
-        "body": retrieval.top(retrieval.bm25(stored, "point_id", "body_text", p.query), "point_id", k),
+        "title": retrieval.top(words("title"), "point_id", k),
+        "body": retrieval.top(words("body"), "point_id", k),
     }
     fused = retrieval.fuse(lists, "point_id", k)
     fused = fused if p.candidates else fused.limit(0)
@@ -58,6 +60,12 @@ def search(stored: DataFrame, query: str, limit: int = 10, offset: int = 0, doma
     return Result(page, placed.agg(F.count("*").alias("total")), ranking.knowledge_panel(placed, p.offset))
 
 
+def store_postings(stored: DataFrame, path: str, parts: int | None = None) -> None:
+    """The postings of the titles and bodies of points, in folders of path, as search reads them."""
+    for field in ("title", "body"):
+        retrieval.store_postings(stored, "point_id", f"{field}_text", f"{path}/{field}", parts)
+
+
 def similar(stored: DataFrame, text: str, threshold: float = THRESHOLD, embedder=retrieval.hash_embedding) -> DataFrame:
     """One row: is_similar, score (the highest, 0 without any) and matches at or above the threshold, best first."""
     best = retrieval.top(retrieval.dense(stored, "point_id", "dense", embedder("query: " + text)), "point_id", MATCHES)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from skein.functions import text, urls
 from skein.operators import chunking, crawl, html, index, ranking, retrieval, robots, seeds, sitemap
 from skein.plans import search as plans
-from skein.sources.tables import read, requests
+from skein.sources.tables import read, requests, scratch
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -301,6 +301,15 @@ def r03_bm25_body(spark, sf):
     return best.withColumn("score", F.round("score", 6))
 
 
+@query(ORACLES["r03_bm25_body"])
+def r03_bm25_stored(spark, sf):
+    """The same from stored postings."""
+    path = scratch(spark)
+    retrieval.store_postings(read(spark, sf, "documents"), "doc_id", "text", path)
+    best = retrieval.top(retrieval.bm25_stored(spark, path, QUERY, "doc_id"), "doc_id", 1000)
+    return best.withColumn("score", F.round("score", 6))
+
+
 @query(f"WITH t AS (SELECT DISTINCT doc_id, unnest({TOKENS_SQL.format('text')}) AS term FROM documents), n AS (SELECT count(*) AS n FROM documents) SELECT term, count(*) AS df, round(ln(1 + (any_value(n) - count(*) + 0.5::DOUBLE) / (count(*) + 0.5::DOUBLE)), 6) AS idf FROM t, n GROUP BY term")
 def a13_idf(spark, sf):
     return retrieval.document_frequency(read(spark, sf, "documents"), "doc_id", "text").withColumn("idf", F.round("idf", 6))

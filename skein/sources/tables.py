@@ -36,15 +36,19 @@ def shared_dir(spark: SparkSession) -> str:
     return spark._skein_scratch
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back."""
-    spark = df.sparkSession
-    folder = shared_dir(spark)
-    path = f"{folder.rstrip('/')}/skein-{uuid.uuid4().hex}"
+def scratch(spark: SparkSession) -> str:
+    """A new path in the shared folder, deleted when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/skein-{uuid.uuid4().hex}"
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back."""
+    path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:

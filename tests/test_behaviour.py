@@ -388,3 +388,18 @@ def test_no_answer_is_tried_again(spark):
 def test_empty_index_has_vectors(spark):
     empty = plans.empty_index(spark)
     assert dict(empty.dtypes)["dense"] == "array<float>" and plans.search(empty, "word").results.count() == 0
+
+
+def test_stored_postings(spark, tmp_path):
+    texts = [("a", "The cat. The CAT sat"), ("b", None), ("c", ""), ("d", "cat dog dog dog é É"), ("e", "no match here"), (None, "dog")]
+    df = spark.createDataFrame(texts, "point_id string, body_text string").withColumn("title_text", F.col("body_text"))
+    plans.store_postings(df, str(tmp_path), 3)
+    plans.store_postings(df, str(tmp_path), 3)
+    for asked in ("cat the", "dog", "é cat cat", "absent", "..."):
+        for average in (256.0, None):
+            want = sorted(map(str, retrieval.bm25(df, "point_id", "body_text", asked, average).collect()))
+            assert sorted(map(str, retrieval.bm25_stored(spark, f"{tmp_path}/body", asked, "point_id", average).collect())) == want
+    found = retrieval.bm25_stored(spark, f"{tmp_path}/body", "cat dog", "point_id")
+    assert "In(term, [cat,dog])" in found._jdf.queryExecution().executedPlan().toString()
+    retrieval.store_postings(df.limit(0), "point_id", "body_text", f"{tmp_path}/none")
+    assert retrieval.bm25_stored(spark, f"{tmp_path}/none", "cat", "point_id", None).count() == 0
