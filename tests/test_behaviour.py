@@ -238,13 +238,15 @@ def test_payloads(spark):
     assert set(got) == {1, 5} and got[1]["page_title"] == "No Title" and got[5]["tags"] == ["a"] and got[5]["payload_score"] == 2.5
 
 
-def test_search_end_to_end(spark):
+def test_search_end_to_end(spark, tmp_path):
     pages = spark.createDataFrame([(1, "https://rust.example/", "<title>Rust</title><p>Rust is a language for systems</p>"), (2, "https://rust.example/book", "<title>Book</title><p>The book on rust and crawlers</p>"), (3, "https://cook.example/", "<title>Food</title><p>Bread with butter</p>"), (4, "https://rust.example/a.pdf", "<title>Rust</title><p>rust rust rust</p>")], "page_id long, url string, html string")
     c = chunking.chunks(html.extract(pages), 7)
     stored = retrieval.embed(index.points(c, index.page_versions(c)), "passage")
     r = plans.search(stored, "rust", limit=2)
     assert [x["source_url"] for x in r.results.collect()][0] == "https://rust.example/" and r.panel.first()["title"] == "Rust" and r.total.first()["total"] == 3
     assert plans.search(stored, "rust", limit=0, offset=0).results.count() == 0
+    plans.store_postings(stored, str(tmp_path), 2)
+    assert plans.search(stored, "rust", limit=2, postings=str(tmp_path)).results.collect() == r.results.collect()
     s = plans.similar(stored, "Rust is a language for systems").first()
     assert s["is_similar"] and s["matches"][0]["source_url"] == "https://rust.example/"
     none = plans.similar(stored.limit(0), "x", 0.0).first()
