@@ -13,12 +13,13 @@ from operator import add
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, FloatType, StructField, StructType
 
 from skein.functions import text
-from skein.sources.tables import reach_workers
+from skein.sources.tables import reach_workers, settled, small
 
 # Budgets of a search, weights of the three lists.
 MOST_LIMIT, MOST_OFFSET, SPARE = 50, 200, 4
@@ -27,6 +28,8 @@ WEIGHTS = {"dense": 2.0, "title": 2.0, "body": 1.0}
 K1, B, AVERAGE_LENGTH, FUSION = 1.2, 0.75, 256.0, 2.0
 #: Digits to which scores are rounded before they are compared, so that sums in another order give the same ranks.
 DIGITS = 9
+#: Stands for a null id where ids lie in arrays.
+NO_ID = 2**63 - 1
 
 
 def query_terms(query: str) -> list[str]:
@@ -136,23 +139,88 @@ def fuse(lists: dict[str, DataFrame], id_col: str, k: int, weights: dict[str, fl
     return top(merged, id_col, k)
 
 
-def nearest(requests: list[tuple[int, list[float]]], df: DataFrame, id_col: str, vec_col: str, k: int = 5) -> DataFrame:
-    """request_id, id, score and rank of each request's k best rows by cosine. The requests' vectors go to the
-    executors as one block; a batch of rows gives k rows a request at most, so little is shuffled."""
-    ids, block = np.array([r for r, _ in requests], np.int64), np.array([v for _, v in requests], np.float64).T
+def blocks(df: DataFrame, id_col: str, vec_col: str, size: int) -> DataFrame:
+    """The rows' ids and vectors in blocks of about size bytes: n, d, ids (eight bytes each) and vecs (doubles). A null id
+    is the highest number there is, which sorts last; rows without a vector go."""
     reach_workers(df.sparkSession)
-    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") == block.shape[0])
+    rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.col(vec_col).cast("array<double>").alias("v")).filter(F.size("v") > 0)
 
     def run(batches):
+        for b in small(batches, 2**31, size):
+            v, n = b.column(1), pa.compute.list_value_length(b.column(1)).to_numpy()
+            at, cuts = v.offsets.to_numpy(), [0, *np.flatnonzero(np.diff(n)) + 1, len(n)]
+            for i, j in zip(cuts, cuts[1:]):  # vectors of a size
+                if i < j:
+                    yield pa.RecordBatch.from_arrays([pa.array([j - i]), pa.array([int(n[i])]), pa.array([b.column(0).to_numpy()[i:j].tobytes()]), pa.array([v.values.to_numpy(zero_copy_only=False)[at[i] : at[j]].tobytes()])], ["n", "d", "ids", "vecs"])
+
+    return rows.mapInArrow(run, "n long, d long, ids binary, vecs binary")
+
+
+class Nearest:
+    """The k best ids by score, then by id, of each request of a block, over blocks of rows that come one after another."""
+
+    def __init__(self, requests: np.ndarray, k: int):
+        self.block, self.k = requests.T, k
+        self.ids = np.full((len(requests), k), NO_ID, np.int64)
+        self.scores = np.full((len(requests), k), -np.inf)
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray, tile: int = 1024) -> None:
+        for i in range(0, len(ids), tile):
+            mine = ids[i : i + tile]
+            for j in range(0, self.block.shape[1], tile):
+                self._merge(mine, vectors[i : i + tile] @ self.block[:, j : j + tile], j)
+
+    def _merge(self, ids: np.ndarray, raw: np.ndarray, j: int) -> None:
+        least = self.scores[j : j + raw.shape[1], -1]
+        if len(ids) > self.k and np.isneginf(least).any():
+            least = np.maximum(least, np.partition(raw, len(ids) - self.k, axis=0)[len(ids) - self.k])
+        # rounding moves a score by less than half a unit of the last digit
+        row, req = np.nonzero(raw >= least - 2 * 10.0**-DIGITS)
+        if not len(row):
+            return
+        touched = np.unique(req)
+        old = self.scores[j + touched]
+        who = np.concatenate([np.repeat(touched, self.k), req])
+        new_ids = np.concatenate([self.ids[j + touched].ravel(), ids[row]])
+        scores = np.concatenate([old.ravel(), np.round(raw[row, req], DIGITS)])
+        order = np.lexsort((new_ids, -scores, who))
+        first = np.searchsorted(who[order], touched)
+        take = order[first[:, None] + np.arange(self.k)]  # each request has k old ones at least
+        self.ids[j + touched], self.scores[j + touched] = new_ids[take], scores[take]
+
+
+def nearest(requests: list[tuple[int, list[float]]] | DataFrame, df: DataFrame, id_col: str, vec_col: str, k: int = 5, block: int = 2**19) -> DataFrame:
+    """request_id, id, score and rank of each request's k best rows by cosine; requests are pairs or rows like df's. Each
+    block of requests meets each block of rows, and a task gives k rows a request at most. Memory doesn't grow with either
+    side, nothing is gathered in the driver; the work is that of all pairs."""
+    spark = df.sparkSession
+    asked = requests if isinstance(requests, DataFrame) else spark.createDataFrame(requests, f"{id_col} long, {vec_col} array<double>")
+    sides = [settled(blocks(x, id_col, vec_col, block)) for x in (asked, df)]
+    left = sides[0].select("d", F.monotonically_increasing_id().alias("at"), F.col("ids").alias("asked"), F.col("vecs").alias("q"))
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(sides[1].withColumnRenamed("d", "d2")).filter("d = d2").select("at", "d", "asked", "q", "ids", "vecs")
+
+    def run(batches):
+        def result():
+            k_each = np.repeat(names, best.k), best.ids.ravel(), best.scores.ravel()
+            some = ~np.isneginf(k_each[2])
+            a, b, s = (x[some] for x in k_each)
+            return pa.RecordBatch.from_arrays([pa.array(a, mask=a == NO_ID), pa.array(b, mask=b == NO_ID), pa.array(s)], ["request_id", "id", "score"])
+
+        at = best = names = None
         for b in batches:
-            mine = b.column(0).to_numpy()
-            scores = np.round(b.column(1).values.to_numpy()[b.column(1).offsets[0].as_py() : b.column(1).offsets[-1].as_py()].reshape(-1, block.shape[0]) @ block, DIGITS)
-            some = np.lexsort((np.broadcast_to(mine[:, None], scores.shape), -scores), axis=0)[:k]
-            which = np.broadcast_to(np.arange(len(ids)), some.shape)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[which.ravel()]), pa.array(mine[some.ravel()]), pa.array(scores[some.ravel(), which.ravel()])], ["request_id", "id", "score"])
-
-    found = rows.mapInArrow(run, "request_id long, id long, score double") if requests else rows.limit(0).select(F.col("id").alias("request_id"), "id", F.lit(0.0).alias("score"))
-    w = Window.partitionBy("request_id").orderBy(F.desc("score"), "id")
+            for i in range(b.num_rows):
+                here, d, asked, q, ids, vecs = (c[i].as_buffer() if pa.types.is_binary(c.type) else c[i].as_py() for c in b.columns)
+                if here != at:
+                    if best is not None:
+                        yield result()
+                    at, names, best = here, np.frombuffer(asked, np.int64), Nearest(np.frombuffer(q, np.float64).reshape(-1, d).copy(), k)
+                    names = names.copy()
+                best.add(np.frombuffer(ids, np.int64), np.frombuffer(vecs, np.float64).reshape(-1, d))
+        if best is not None:
+            yield result()
+
+    found = pairs.mapInArrow(run, "request_id long, id long, score double")
+    w = Window.partitionBy("request_id").orderBy(F.desc("score"), F.asc_nulls_last("id"))
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 

@@ -44,6 +44,19 @@ def scratch(spark: SparkSession) -> str:
     return path
 
 
+def small(batches, rows: int = 256, size: int = 2**20):
+    """The batches in slices of at most so many rows and bytes, one row at least, so that a worker's memory doesn't follow
+    what Arrow hands over at once (10,000 rows)."""
+    for whole in batches:
+        todo = [whole]
+        while todo:
+            b = todo.pop()
+            if b.num_rows > 1 and (b.num_rows > rows or b.nbytes > size):
+                todo += [b.slice(b.num_rows // 2), b.slice(0, b.num_rows // 2)]
+            else:
+                yield b
+
+
 def settled(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back."""
     path = scratch(df.sparkSession)
