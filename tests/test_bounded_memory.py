@@ -3,9 +3,11 @@
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from skein.operators import retrieval
+from skein.operators import html, retrieval
+from skein.sources import tables
 
 
 def peak(f):
@@ -42,3 +44,17 @@ def test_nearest_in_blocks(spark):
         assert {tuple(r) for r in retrieval.nearest(requests, df, "id", "v", 4, block=7 * 32).collect()} == want
     assert retrieval.nearest(df.limit(0), df, "id", "v").count() == retrieval.nearest([], df, "id", "v").count() == 0
     assert retrieval.nearest([(1, [1.0, 0.0])], df, "id", "v", 9).agg(F.count("id"), F.max("rank")).collect() == [(1, 1)]
+
+
+def test_pages_and_texts_are_taken_in_slices():
+    html_of = "<title>t</title>" + "<p class=x>some words of a page</p>" * 40
+    n = 4000
+    pages = pa.RecordBatch.from_pydict({"page_id": list(range(n)), "url": ["http://e.example/"] * n, "html": [html_of] * n})
+    sizes, most = peak(lambda: [(b.num_rows, b.column(0)[0].as_py(), len(b.column(4)[-1])) for b in html.extracted([pages])])
+    assert most < 30e6  # trees, blocks and Arrow's input of all pages are over 200 MB
+    assert sum(s[0] for s in sizes) == n and max(s[0] for s in sizes) <= 256 and {s[2] for s in sizes} == {40}
+    assert [s[1] for s in sizes] == sorted(s[1] for s in sizes)
+    mixed = pa.RecordBatch.from_pydict({"t": ["x" * 3_000_000, "", None, *["y" * 1000] * 5000]})
+    cut = list(tables.small([mixed, mixed.slice(0, 0)]))
+    assert pa.Table.from_batches(cut).column("t").to_pylist() == mixed.column("t").to_pylist()
+    assert all(b.num_rows <= 256 and (b.nbytes <= 2**20 or b.num_rows == 1) for b in cut)
