@@ -8,7 +8,8 @@ block and give a few candidates a row batch.
 from __future__ import annotations
 
 import hashlib
-from functools import reduce
+import re
+from functools import lru_cache, reduce
 from operator import add
 
 import numpy as np
@@ -28,20 +29,14 @@ WEIGHTS = {"dense": 2.0, "title": 2.0, "body": 1.0}
 K1, B, AVERAGE_LENGTH, FUSION = 1.2, 0.75, 256.0, 2.0
 #: Digits to which scores are rounded before they are compared, so that sums in another order give the same ranks.
 DIGITS = 9
+_TOKEN = re.compile(r"[^\W_]+")
 #: Stands for a null id where ids lie in arrays.
 NO_ID = 2**63 - 1
 
 
 def query_terms(query: str) -> list[str]:
     """Distinct tokens of a request, as tokens() makes them."""
-    out, word = [], ""
-    for c in query.lower() + " ":
-        if c.isalnum():
-            word += c
-        elif word:
-            out.append(word)
-            word = ""
-    return list(dict.fromkeys(out))
+    return list(dict.fromkeys(_TOKEN.findall(query.lower())))
 
 
 def candidate_limit(limit: int, offset: int) -> int:
@@ -224,14 +219,26 @@ def nearest(requests: list[tuple[int, list[float]]] | DataFrame, df: DataFrame,
     return found.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= k)
 
 
+@lru_cache(maxsize=2**16)
+def _place(piece: str, size: int) -> int:
+    h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "little")
+    return h % size + (size if h >> 63 else 0)
+
+
+@lru_cache(maxsize=2**16)
+def _places(word: str, size: int) -> bytes:
+    """Where a word and its pieces count: places of a vector, size higher where they count as 1 and not as -1."""
+    padded = f"<{word}>"
+    place = _place if len(word) <= 64 else _place.__wrapped__
+    return np.array([place(x, size) for x in (word, *(padded[i : i + 3] for i in range(len(padded) - 2)))], np.int32).tobytes()
+
+
 def hash_embedding(passage: str, size: int = 384) -> list[float]:
     """A deterministic stand-in for an embedding model: signed hashes of words and of their three-letter pieces."""
-    out = np.zeros(size)
-    for word in query_terms(passage) or [""]:
-        padded = f"<{word}>"
-        for piece in [word, *(padded[i : i + 3] for i in range(len(padded) - 2))]:
-            h = int.from_bytes(hashlib.blake2b(piece.encode(), digest_size=8).digest(), "little")
-            out[h % size] += 1.0 if h >> 63 else -1.0
+    # long words aren't kept in memory
+    found = [_places(w, size) if len(w) <= 64 else _places.__wrapped__(w, size) for w in query_terms(passage) or [""]]
+    counts = np.bincount(np.frombuffer(b"".join(found), np.int32), minlength=2 * size)
+    out = (counts[size:] - counts[:size]).astype(np.float64)
     n = float(np.linalg.norm(out))
     return (out / n if n else out).tolist()
 
@@ -242,7 +249,7 @@ def embed(df: DataFrame, text_col: str, embedder=hash_embedding, out_col: str =
     fields = df.schema
 
     def run(batches):
-        for b in batches:
+        for b in small(batches):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([embedder(t or "") for t in b.column(text_col).to_pylist()], pa.list_(pa.float32()))], [*fields.names, out_col])
 
     return df.mapInArrow(run, StructType([*fields, StructField(out_col, ArrayType(FloatType()))]))

@@ -1,5 +1,6 @@
 """Workers hold a part of what they are given, and give the same."""
 
+import hashlib
 import tracemalloc
 
 import numpy as np
@@ -58,3 +59,18 @@ def test_pages_and_texts_are_taken_in_slices():
     cut = list(tables.small([mixed, mixed.slice(0, 0)]))
     assert pa.Table.from_batches(cut).column("t").to_pylist() == mixed.column("t").to_pylist()
     assert all(b.num_rows <= 256 and (b.nbytes <= 2**20 or b.num_rows == 1) for b in cut)
+
+
+def test_embeddings_hash_a_piece_once(monkeypatch):
+    calls, real = [], hashlib.blake2b
+    monkeypatch.setattr(retrieval.hashlib, "blake2b", lambda x, **k: calls.append(x) or real(x, **k))
+    once = retrieval.hash_embedding("Quillon varde quillon ostrelmav")
+    n = len(calls)
+    assert all(retrieval.hash_embedding("Quillon varde quillon ostrelmav") == once for _ in range(9)) and len(calls) == n
+    out = np.zeros(384)
+    for piece in ["ab_", "ab"]:
+        assert retrieval.query_terms(piece) == ["ab"]
+    for piece in ["ab", "<ab", "ab>"]:
+        h = int.from_bytes(real(piece.encode(), digest_size=8).digest(), "little")
+        out[h % 384] += 1.0 if h >> 63 else -1.0
+    assert retrieval.hash_embedding("ab_ AB") == (out / np.linalg.norm(out)).tolist()
