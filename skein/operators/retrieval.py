@@ -89,11 +89,13 @@ def store_postings(df: DataFrame, id_col: str, text_col: str, path: str, parts:
     """
     spark = df.sparkSession
     rows = df.select(F.col(id_col).alias("id"), F.sort_array(text.tokens(F.col(text_col))).alias("tokens")).withColumn("dl", F.size("tokens"))
-    rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("long").alias("words")).write.mode("overwrite").parquet(f"{path}/totals")
     starts = F.filter(F.sequence(F.lit(0), F.col("dl") - 1), lambda i: (i == 0) | (F.get("tokens", i - 1) != F.get("tokens", i)))
     rows = rows.withColumn("starts", F.when(F.col("dl") > 0, starts))
     count = lambda p, k: F.struct(F.get("tokens", p).alias("term"), (F.coalesce(F.get("starts", k + 1), F.col("dl")) - p).alias("tf"))
-    each = rows.select("id", "dl", F.explode(F.transform("starts", count)).alias("c")).select("c.term", "id", "c.tf", "dl")
+    # the totals, the ranges' sample and the postings read the counts: a text is split once
+    each = settled(rows.select("id", "dl", F.explode(F.transform("starts", count)).alias("c")).select("c.term", "id", "c.tf", "dl"))
+    words = each.agg(F.coalesce(F.sum("tf"), F.lit(0)).cast("long").alias("words"))
+    df.agg(F.count("*").alias("n")).crossJoin(words).write.mode("overwrite").parquet(f"{path}/totals")
     ordered = each.repartitionByRange(*([parts] if parts else []), "term", "id").sortWithinPartitions("term", "id")
     ordered.write.mode("overwrite").parquet(f"{path}/postings")
     terms = spark.read.schema(each.schema).parquet(f"{path}/postings").groupBy("term").agg(F.count("*").alias("df"))
